@@ -2,5 +2,346 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.functions import arrays
+from spanloom.functions import sequence as seq
+from spanloom.operators import intervals as iv
+from spanloom.operators import stats
+from spanloom.operators import windows as win
+from spanloom.streaming import sliding
+
+from .projections import IV, SEQS, intervals, sequences, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+SIZES = (200, 1000, 4000)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+def _b(base: str) -> str:
+    return f"(length(q) - length(replace(q, '{base}', '')))"
+
+
+# Sequences
+
+
+@query(f"""WITH {SEQS}, c AS (SELECT doc_id, length(q) AS n, {_b('A')} AS a, {_b('C')} AS c, {_b('G')} AS g, {_b('T')} AS t, {_b('CG')} / 2 AS cg FROM seqs)
+SELECT doc_id, round((g + c) / nullif(a + c + g + t, 0), 6) AS gc, round(CASE WHEN n > 0 THEN 0.0e0 ELSE 1.0e0 END, 6) AS n_fraction,
+round(cg / nullif(n - 1, 0), 6) AS cpg_density, round(CASE WHEN c * g > 0 THEN cg * (a + c + g + t) / (c * g) ELSE 0.0e0 END, 6) AS cpg_oe,
+round((g - c) / nullif(g + c, 0), 6) AS gc_skew, round((a - t) / nullif(a + t, 0), 6) AS at_skew FROM c""")
+def seq_composition(spark, sf_dir):
+    q = F.col("q")
+    return sequences(spark, sf_dir).select(
+        "doc_id", _r(seq.gc_content(q)).alias("gc"), _r(seq.n_fraction(q)).alias("n_fraction"), _r(seq.cpg_density(q)).alias("cpg_density"),
+        _r(seq.cpg_observed_expected(q)).alias("cpg_oe"), _r(seq.skew(q, "G", "C")).alias("gc_skew"), _r(seq.skew(q, "A", "T")).alias("at_skew"),
+    )
+
+
+def _h(base: str) -> str:
+    return f"CASE WHEN {_b(base)} > 0 THEN -({_b(base)} / length(q)) * log2({_b(base)} / length(q)) ELSE 0 END"
+
+
+@query(f"WITH {SEQS} SELECT doc_id, CASE WHEN length(q) > 0 THEN round({' + '.join(_h(b) for b in 'ACGT')}, 6) END AS entropy FROM seqs")
+def seq_shannon_entropy(spark, sf_dir):
+    return sequences(spark, sf_dir).select("doc_id", _r(seq.shannon_entropy(F.col("q"))).alias("entropy"))
+
+
+@query(f"""WITH {SEQS} SELECT doc_id,
+round(coalesce(list_sum(list_transform(regexp_extract_all(q, 'A{{5,}}|C{{5,}}|G{{5,}}|T{{5,}}'), lambda x: length(x))), 0) / nullif(length(q), 0), 6) AS run_fraction,
+CAST(coalesce(list_sum(list_transform(regexp_extract_all(q, 'G{{3,}}'), lambda x: length(x))), 0) AS BIGINT) AS g_in_runs FROM seqs""")
+def seq_runs(spark, sf_dir):
+    q = F.col("q")
+    return sequences(spark, sf_dir).select("doc_id", _r(seq.homopolymer_fraction(q)).alias("run_fraction"), seq.runs(q, "G", 3).cast("long").alias("g_in_runs"))
+
+
+@query(f"WITH {SEQS} SELECT doc_id, md5(reverse(translate(q, 'ACGTN', 'TGCAN'))) AS rc_md5 FROM seqs")
+def reverse_complement(spark, sf_dir):
+    return sequences(spark, sf_dir).select("doc_id", F.md5(seq.reverse_complement(F.col("q")).cast("binary")).alias("rc_md5"))
+
+
+@query(f"""WITH {SEQS}, k AS (SELECT chrom, substr(q, i, 3) AS kmer FROM (SELECT chrom, q, unnest(range(1, length(q) - 1)) AS i FROM seqs))
+SELECT chrom, kmer, count(*) AS n FROM k GROUP BY ALL""")
+def kmer_counts_k3(spark, sf_dir):
+    return seq.kmer_counts(sequences(spark, sf_dir), "chrom", "q", 3)
+
+
+@query(f"""WITH {SEQS}, k AS (SELECT doc_id, substr(q, i, 4) AS kmer FROM (SELECT doc_id, q, unnest(range(1, length(q) - 2)) AS i FROM seqs)),
+c AS (SELECT doc_id, kmer, count(*) AS n FROM k GROUP BY ALL)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS total, count(*) AS distinct_kmers, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy,
+round(count(*) / 256.0e0, 6) AS occupancy FROM c GROUP BY doc_id""")
+def kmer_profile_k4(spark, sf_dir):
+    p = seq.kmer_profile(sequences(spark, sf_dir), "doc_id", "q", 4)
+    return p.select("doc_id", "total", "distinct_kmers", _r("entropy").alias("entropy"), _r("occupancy").alias("occupancy"))
+
+
+@query(f"""WITH {SEQS}, p AS (SELECT doc_id, q, unnest(range(1, length(q) + 1)) AS i FROM seqs),
+w AS (SELECT doc_id, i, sum(CASE WHEN substr(q, i, 1) IN ('A', 'G') THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM p)
+SELECT doc_id, CAST(arg_max(v, i) AS INTEGER) AS final, CAST(max(v) - min(v) AS INTEGER) AS range FROM w GROUP BY doc_id""")
+def purine_walk(spark, sf_dir):
+    return seq.walk(sequences(spark, sf_dir), "doc_id", "q", "AG", "CT")
+
+
+@query()
+def seq_measures(spark, sf_dir):
+    """LZ78, compression, palindromes, autocorrelation, spectrum and DFA of each whole sequence."""
+    return sequences(spark, sf_dir).select("doc_id", arrays.measures("q").alias("m")).select("doc_id", "m.*")
+
+
+@query()
+def seq_surrogates(spark, sf_dir):
+    """Composition of each sequence and of its shuffled and Markov surrogates."""
+    s = sequences(spark, sf_dir).select("doc_id", F.explode(arrays.surrogates(2)("q")).alias("s")).select("doc_id", "s.*")
+    return s.select("doc_id", "kind", "replicate", F.length("sequence").alias("length"), _r(seq.gc_content(F.col("sequence"))).alias("gc"), _r(seq.cpg_density(F.col("sequence"))).alias("cpg_density"))
+
+
+# Windows
+
+_SIZE_ROWS = ", ".join(f"({w}, {max(1, w // 2)}, {i})" for i, w in enumerate(SIZES))
+WINDOWS = f"""sizes(w, step, lvl) AS (VALUES {_SIZE_ROWS}),
+axes AS (SELECT 'd' || doc_id AS chrom, length(q) AS size FROM seqs WHERE length(q) > 0),
+grid AS (SELECT chrom, size, w, lvl, unnest(range(0, greatest(size - w, 0) + 1, step)) AS s FROM axes, sizes
+         UNION ALL SELECT chrom, size, w, lvl, size - w FROM axes, sizes WHERE size > w AND (size - w) % step <> 0),
+win AS (SELECT chrom || ':' || s || '-' || least(size, s + w) || ':' || w AS region_id, chrom, s, least(size, s + w) AS e, w, lvl FROM grid)"""
+
+
+def _windows(spark, sf_dir):
+    axes = sequences(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"), F.length("q").alias("size"), "q")
+    return axes, win.tile(axes, list(SIZES))
+
+
+@query(f'WITH {SEQS}, {WINDOWS} SELECT region_id, chrom, s AS start, e AS "end", CAST(w AS BIGINT) AS window_size, CAST(lvl AS INTEGER) AS scale_level FROM win')
+def windows_multiscale(spark, sf_dir):
+    return _windows(spark, sf_dir)[1]
+
+
+@query(f"""WITH {SEQS}, {WINDOWS}, m AS (
+SELECT a.region_id, b.region_id AS parent_id, row_number() OVER (PARTITION BY a.region_id ORDER BY b.lvl, b.s DESC) AS n
+FROM win a JOIN win b ON a.chrom = b.chrom AND b.lvl > a.lvl AND b.s <= a.s AND b.e >= a.e)
+SELECT w.region_id, m.parent_id FROM win w LEFT JOIN m ON w.region_id = m.region_id AND m.n = 1""")
+def window_parents(spark, sf_dir):
+    return win.parents(_windows(spark, sf_dir)[1]).select("region_id", "parent_id")
+
+
+@query(f"""WITH {SEQS}, {WINDOWS}, x AS (SELECT region_id, substr(q, s + 1, e - s) AS q FROM win JOIN seqs ON win.chrom = 'd' || doc_id WHERE w = 1000)
+SELECT region_id, round(({_b('G')} + {_b('C')}) / nullif(length(q), 0), 6) AS gc FROM x""")
+def window_gc(spark, sf_dir):
+    axes, tiles = _windows(spark, sf_dir)
+    x = tiles.where("window_size = 1000").join(axes.select("chrom", "q"), "chrom")
+    return x.select("region_id", _r(seq.gc_content(seq.extract(F.col("q"), F.col("start"), F.col("end")))).alias("gc"))
+
+
+# Interval joins and sweeps
+
+
+def _kind(df, kind):
+    return df.where(F.col("event_type") == kind)
+
+
+def _sides(spark, sf_dir):
+    all_ = intervals(spark, sf_dir)
+    return _kind(all_, "view"), _kind(all_, "purchase")
+
+
+_PAIR = "a.chrom = b.chrom AND a.s < b.e AND a.e > b.s"
+_AB = f"{IV}, a AS (SELECT * FROM iv WHERE event_type = 'view'), b AS (SELECT * FROM iv WHERE event_type = 'purchase')"
+
+
+@query(f"WITH {_AB} SELECT event_id, EXISTS (SELECT 1 FROM b WHERE {_PAIR}) AS overlaps FROM a")
+def overlap_exists(spark, sf_dir):
+    left, right = _sides(spark, sf_dir)
+    return iv.with_overlap(left, right, "event_id").select("event_id", "overlaps")
+
+
+@query(f"WITH {_AB} SELECT event_id FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {_PAIR})")
+def overlap_anti(spark, sf_dir):
+    left, right = _sides(spark, sf_dir)
+    return iv.keep_overlapping(left, right, "event_id", anti=True).select("event_id")
+
+
+@query(f"""WITH {_AB}, p AS (SELECT a.event_id, least(a.e, b.e) - greatest(a.s, b.s) AS bp, b.value FROM a JOIN b ON {_PAIR}),
+g AS (SELECT event_id, count(*) AS n, CAST(sum(bp) AS BIGINT) AS bp, sum(bp * value) AS w FROM p GROUP BY event_id)
+SELECT a.event_id, coalesce(n, 0) AS n_overlaps, coalesce(bp, 0) AS overlap_bp, round(least(1.0e0, coalesce(bp, 0) / (e - s)), 6) AS fraction,
+round(w / (e - s), 6) AS mean_value FROM a LEFT JOIN g ON a.event_id = g.event_id""")
+def overlap_coverage(spark, sf_dir):
+    left, right = _sides(spark, sf_dir)
+    c = iv.coverage(left.drop("value"), right, "event_id", value="value")
+    return c.select("event_id", "n_overlaps", "overlap_bp", _r("fraction").alias("fraction"), _r("mean_value").alias("mean_value"))
+
+
+@query(f"""WITH {IV}, a AS (SELECT * FROM iv WHERE event_type = 'view'), p AS (
+SELECT a.event_id, b.event_type AS v, min((b.s, b.e, b.event_id)) AS o FROM a JOIN iv b ON {_PAIR} GROUP BY 1, 2),
+r AS (SELECT event_id, v, o, row_number() OVER (PARTITION BY event_id ORDER BY o, v) AS n FROM p)
+SELECT event_id, string_agg(v, ';' ORDER BY o, v) AS values FROM r WHERE n <= 3 GROUP BY event_id""")
+def overlap_values(spark, sf_dir):
+    all_ = intervals(spark, sf_dir)
+    return iv.collect_values(_kind(all_, "view"), all_, "event_id", "event_type", "event_id", most=3).select("event_id", "values")
+
+
+@query(f"""WITH {IV}, a AS (SELECT event_id, chrom, (s + e) // 2 AS c FROM iv WHERE event_type = 'view'), b AS (SELECT * FROM iv WHERE event_type = 'click'),
+r AS (SELECT a.event_id, b.event_id AS near, abs(b.s - c) AS d, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(b.s - c), b.s, b.event_id) AS n
+FROM a JOIN b ON a.chrom = b.chrom) SELECT a.event_id, r.near AS nearest, r.d AS distance FROM a LEFT JOIN r ON a.event_id = r.event_id AND n = 1""")
+def nearest_point(spark, sf_dir):
+    all_ = intervals(spark, sf_dir)
+    q = _kind(all_, "view").withColumn("centre", F.expr("(start + end) div 2"))
+    return iv.nearest(q, _kind(all_, "click"), "event_id", "centre", "start", "event_id").select("event_id", "nearest", "distance")
+
+
+_ISLANDS = """o AS (SELECT *, max(e) OVER (PARTITION BY chrom, event_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {src}),
+f AS (SELECT *, sum(CASE WHEN before IS NULL OR s >= before THEN 1 ELSE 0 END) OVER (PARTITION BY chrom, event_type ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o)"""
+
+
+@query(f'WITH {IV}, {_ISLANDS.format(src="iv")} SELECT chrom, event_type, min(s) AS start, max(e) AS "end", count(*) AS n_members FROM f GROUP BY chrom, event_type, k')
+def merge_islands(spark, sf_dir):
+    return iv.islands(intervals(spark, sf_dir), ["chrom", "event_type"]).select("chrom", "event_type", "start", "end", "n_members")
+
+
+@query(f"""WITH {IV}, m AS (SELECT chrom, s, e, max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM iv WHERE event_type = 'purchase'),
+k AS (SELECT *, sum(CASE WHEN before IS NULL OR s >= before THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m),
+h AS (SELECT chrom, min(s) AS s, max(e) AS e FROM k GROUP BY chrom, k), a AS (SELECT * FROM iv WHERE event_type = 'view'),
+b AS (SELECT a.event_id, a.chrom, a.s AS lo, a.e AS hi, h.s, h.e FROM a JOIN h ON a.chrom = h.chrom AND a.s < h.e AND a.e > h.s),
+pieces AS (SELECT event_id, chrom, lo AS s, coalesce(min(s), hi) AS e FROM (SELECT * FROM b UNION ALL SELECT event_id, chrom, s, e, NULL, NULL FROM a) GROUP BY event_id, chrom, lo, hi
+UNION ALL SELECT event_id, chrom, e, least(hi, coalesce(lead(s) OVER (PARTITION BY event_id ORDER BY s), hi)) FROM b)
+SELECT event_id, chrom, s AS start, e AS "end" FROM pieces WHERE s < e""")
+def interval_subtract(spark, sf_dir):
+    left, right = _sides(spark, sf_dir)
+    return iv.subtract(left, right, "event_id")
+
+
+@query(f"""WITH {IV}, t AS (SELECT *, (count(*) OVER (PARTITION BY event_type ORDER BY value DESC RANGE UNBOUNDED PRECEDING) + 1) / (count(*) OVER (PARTITION BY event_type) + 1) AS share FROM iv),
+{_ISLANDS.format(src="t")}, l AS (SELECT chrom, event_type, min(s) AS s, max(e) AS e, count(*) AS n, least(1.0e0, min(share) * count(*)) AS p FROM f GROUP BY chrom, event_type, k),
+r AS (SELECT *, p * count(*) OVER (PARTITION BY event_type) / count(*) OVER (PARTITION BY event_type ORDER BY p RANGE UNBOUNDED PRECEDING) AS raw FROM l)
+SELECT chrom, event_type, s AS start, e AS "end", n AS n_members, round(p, 6) AS p,
+round(least(1.0e0, min(raw) OVER (PARTITION BY event_type ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS q FROM r""")
+def island_fdr(spark, sf_dir):
+    """Flagship: islands of intervals, their least tail share times members, and the false-discovery rate by type."""
+    rows = stats.tail_share(intervals(spark, sf_dir), "value", ["event_type"])
+    isl = iv.islands(rows, ["chrom", "event_type"], keep=[F.min("tail_share").alias("share")], combine=[F.min("share").alias("share")])
+    isl = isl.withColumn("p", F.least(F.lit(1.0), F.col("share") * F.col("n_members")))
+    out = stats.bh(isl, "p", ["event_type"])
+    return out.select("chrom", "event_type", "start", "end", "n_members", _r("p").alias("p"), _r("q").alias("q"))
+
+
+# Statistics
+
+
+@query("""WITH m AS (SELECT event_type, median(value) AS m FROM events GROUP BY 1),
+d AS (SELECT e.event_type, median(abs(value - m)) AS mad FROM events e JOIN m USING (event_type) GROUP BY 1)
+SELECT event_id, round((value - m) / (mad / 0.6745e0), 6) AS z FROM events JOIN m USING (event_type) JOIN d USING (event_type)""")
+def robust_zscore(spark, sf_dir):
+    z = stats.robust_z(table(spark, sf_dir, "events"), "value", ["event_type"])
+    return z.select("event_id", _r("z").alias("z"))
+
+
+@query("""SELECT event_id, round((count(*) OVER (PARTITION BY event_type ORDER BY value DESC RANGE UNBOUNDED PRECEDING) + 1) / (count(*) OVER (PARTITION BY event_type) + 1), 6) AS tail_share FROM events""")
+def empirical_tail(spark, sf_dir):
+    t = stats.tail_share(table(spark, sf_dir, "events"), "value", ["event_type"])
+    return t.select("event_id", _r("tail_share").alias("tail_share"))
+
+
+@query("""WITH p AS (SELECT event_id, (count(*) OVER (PARTITION BY event_type ORDER BY value DESC RANGE UNBOUNDED PRECEDING) + 1) / (count(*) OVER (PARTITION BY event_type) + 1) AS p FROM events),
+r AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS raw FROM p)
+SELECT event_id, round(least(1.0e0, min(raw) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS q FROM r""")
+def bh_qvalues(spark, sf_dir):
+    t = stats.tail_share(table(spark, sf_dir, "events"), "value", ["event_type"])
+    return stats.bh(t, "tail_share").select("event_id", _r("q").alias("q"))
+
+
+@query("""WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS x,
+rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2 AS y FROM lineitem)
+SELECT l_returnflag, count(*) AS n, round(corr(x, y), 6) AS rho FROM r GROUP BY 1""")
+def spearman_by_group(spark, sf_dir):
+    s = stats.spearman(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
+    return s.select("l_returnflag", "n", _r("rho").alias("rho"))
+
+
+@query("""SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(value - 200) DESC, event_id) AS n FROM events) WHERE n = 1""")
+def strongest_per_group(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("off", F.col("value") - 200)
+    return stats.strongest(e, ["user_id"], "off", "event_id", ["event_id", "value"])
+
+
+@query("""SELECT user_id, event_id, value, n AS rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INTEGER) AS n FROM events) WHERE n <= 5""")
+def top_k_per_group(spark, sf_dir):
+    t = stats.top_k(table(spark, sf_dir, "events"), ["user_id"], [F.desc("value"), F.asc("event_id")], 5)
+    return t.select("user_id", "event_id", "value", "rank")
+
+
+@query("""WITH g AS (SELECT DISTINCT l_returnflag, l_linenumber FROM lineitem)
+SELECT g.l_returnflag, g.l_linenumber, count(*) AS n, round(regr_slope(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE)), 4) AS slope,
+round(regr_intercept(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE)), 2) AS intercept
+FROM g JOIN lineitem l ON g.l_returnflag = l.l_returnflag AND g.l_linenumber <> l.l_linenumber GROUP BY 1, 2""")
+def leave_group_out_line(spark, sf_dir):
+    r = stats.leave_group_out_line(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_linenumber", "l_quantity", "l_extendedprice")
+    return r.select("l_returnflag", "l_linenumber", "n", _r("slope", 4).alias("slope"), _r("intercept", 2).alias("intercept"))
+
+
+@query("SELECT event_type, round(avg(CASE WHEN value > 250 THEN 1.0e0 ELSE 0.0e0 END), 6) AS share, count(value) AS n FROM events GROUP BY 1")
+def share_above(spark, sf_dir):
+    s = stats.share_above(table(spark, sf_dir, "events"), ["event_type"], "value", 250)
+    return s.select("event_type", _r("share").alias("share"), "n")
+
+
+@query("SELECT user_id, count(value) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 4) AS variance, round(sqrt(var_samp(value)) / avg(value), 6) AS cv FROM events GROUP BY 1")
+def dispersion(spark, sf_dir):
+    d = stats.dispersion(table(spark, sf_dir, "events"), ["user_id"], "value")
+    return d.select("user_id", "n", _r("mean").alias("mean"), _r("variance", 4).alias("variance"), _r("cv").alias("cv"))
+
+
+@query("SELECT l_suppkey, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS mean FROM lineitem GROUP BY 1")
+def weighted_mean(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumns({"d": F.col("l_discount").cast("double"), "q": F.col("l_quantity").cast("double")})
+    return stats.weighted_mean(li, ["l_suppkey"], "d", "q").select("l_suppkey", _r("mean").alias("mean"))
+
+
+@query("""SELECT user_id, round(avg(value) FILTER (event_type = 'purchase'), 6) AS case_mean, round(avg(value) FILTER (event_type <> 'purchase'), 6) AS other_mean,
+round((avg(value) FILTER (event_type = 'purchase') - avg(value) FILTER (event_type <> 'purchase')) / stddev_samp(value), 6) AS shift FROM events GROUP BY 1""")
+def pooled_shift(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("hit", F.col("event_type") == "purchase")
+    s = stats.pooled_shift(e, ["user_id"], "value", "hit")
+    return s.select("user_id", *[_r(c).alias(c) for c in ("case_mean", "other_mean", "shift")])
+
+
+_SD = "(SELECT stddev_samp(p_size) AS a, stddev_samp(CAST(p_retailprice AS DOUBLE)) AS b FROM part)"
+
+
+@query(f"""WITH d AS (SELECT x.p_partkey, y.p_partkey AS control,
+round(abs(x.p_size - y.p_size) / a + abs(CAST(x.p_retailprice AS DOUBLE) - CAST(y.p_retailprice AS DOUBLE)) / b, 9) AS distance
+FROM part x JOIN part y ON x.p_type = y.p_type AND x.p_brand <> y.p_brand, {_SD} s),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY distance, control) AS INTEGER) AS rank FROM d)
+SELECT p_partkey, control, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5""")
+def matched_controls(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("price", F.col("p_retailprice").cast("double"))
+    c = stats.matched_controls(p, "p_partkey", "p_brand", ["p_type"], ["p_size", "price"], 5)
+    return c.select("p_partkey", "control", _r("distance").alias("distance"), "rank")
+
+
+@query("""SELECT l_orderkey, l_linenumber, name, value FROM (SELECT l_orderkey, l_linenumber, CAST(l_discount AS DOUBLE) AS discount, CAST(l_tax AS DOUBLE) AS tax FROM lineitem)
+UNPIVOT (value FOR name IN (discount, tax))""")
+def wide_to_long(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").cast("double").alias("discount"), F.col("l_tax").cast("double").alias("tax"))
+    return li.unpivot(["l_orderkey", "l_linenumber"], ["discount", "tax"], "name", "value")
+
+
+@query("""WITH w AS (SELECT event_type, value, unnest([time_bucket(INTERVAL 30 MINUTES, ts), time_bucket(INTERVAL 30 MINUTES, ts) - INTERVAL 30 MINUTES]) AS s FROM events)
+SELECT epoch_us(s) // 1000000 AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2""")
+def sliding_counts(spark, sf_dir):
+    """An extension beyond the interval operators: windows on the time axis; the same code runs on a stream."""
+    s = sliding.sliding_counts(table(spark, sf_dir, "events"))
+    return s.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", _r("total", 4).alias("total"))
