@@ -119,14 +119,14 @@ def _summary(p: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _lexicon(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Hashes of words that many toxic documents hold, at 20 times the rate of the others or more (smoothed).
 
-    Copies count once: of documents that share two of their eight least hashes of word triples, only the first counts.
+    Copies count once: of documents that share four of their eight least hashes of word triples, only the first counts.
     Many: at least ``max(4, 0.4 %)`` of the toxic documents.
     """
     seen, own, label = set(), [], []
     for w, bad in zip(words, toxic):
         if len(w) >= 3:
             least = np.unique(K.mix(w[:-2] * K._MULT[0] + w[1:-1] * K._MULT[1] + w[2:] * K._MULT[2]))[:8].tolist()
-            again = sum(x in seen for x in least) >= 2
+            again = sum(x in seen for x in least) >= 4
             seen.update(least)
             if again:
                 continue
