@@ -115,3 +115,45 @@ def walk(df: DataFrame, key: str, seq: str, plus: str, minus: str) -> DataFrame:
 
     end = F.aggregate(F.split(seq, ""), zero, move)
     return df.where(F.length(seq) > 0).withColumn("_e", end).select(key, F.col("_e.v").alias("final"), (F.col("_e.hi") - F.col("_e.lo")).alias("range"))
+
+
+def conditional_entropy(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
+    """Bits of the next letter given the k before: entropy over (k + 1)-mers less that of their first k letters."""
+    c = kmer_counts(df, key, seq, k + 1).withColumn("head", F.substring("kmer", 1, k))
+    heads = c.groupBy(key, "head").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    return heads.groupBy(key).agg(((F.sum(F.col("m") * F.log2("m")) - F.sum("s")) / F.sum("m")).alias("bits"))
+
+
+def dinucleotide_odds(df: DataFrame, key: str, seq: str) -> DataFrame:
+    """f(xy) / (f(x) f(y)) of every pair that occurs, by first and second letters of the pairs."""
+    c = kmer_counts(df, key, seq, 2).withColumns({"x": F.substring("kmer", 1, 1), "y": F.substring("kmer", 2, 1)})
+    own = c.groupBy(key).agg(F.sum("n").alias("t"))
+    xs, ys = c.groupBy(key, "x").agg(F.sum("n").alias("nx")), c.groupBy(key, "y").agg(F.sum("n").alias("ny"))
+    c = c.join(own, key).join(xs, [key, "x"]).join(ys, [key, "y"])
+    return c.select(key, "kmer", (F.col("n") * F.col("t") / (F.col("nx") * F.col("ny"))).alias("odds"))
+
+
+def half_distance(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
+    """Total variation distance of the k-mer shares of the left and right half."""
+    left, right = df.select(key, F.expr(f"substring({seq}, 1, length({seq}) div 2)").alias("h")), df.select(key, F.expr(f"substring({seq}, length({seq}) div 2 + 1)").alias("h"))
+    share = lambda d, n: (lambda c: c.join(c.groupBy(key).agg(F.sum("n").alias("t")), key).select(key, "kmer", (F.col("n") / F.col("t")).alias(n)))(kmer_counts(d, key, "h", k))
+    both = share(left, "a").join(share(right, "b"), [key, "kmer"], "full")
+    return both.groupBy(key).agg((F.sum(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))) / 2).alias("distance"))
+
+
+def strand_asymmetry(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
+    """Mean of |c - r| / (c + r) over k-mers up to reverse complement, c and r the counts of both strands; palindromes left out."""
+    c = kmer_counts(df, key, seq, k).withColumn("rc", reverse_complement(F.col("kmer"))).where("kmer <> rc")
+    c = c.withColumn("canon", F.least("kmer", "rc")).withColumn("sign", F.when(F.col("kmer") == F.col("canon"), 1).otherwise(-1))
+    pairs = c.groupBy(key, "canon").agg((F.abs(F.sum(F.col("n") * F.col("sign"))) / F.sum("n")).alias("bias"))
+    return pairs.groupBy(key).agg(F.avg("bias").alias("asymmetry"))
+
+
+def mutual_information(df: DataFrame, key: str, seq: str, lag: int) -> DataFrame:
+    """Bits that a letter tells of the one ``lag`` later, from the pairs of both."""
+    pair = F.zip_with(F.split(F.expr(f"substring({seq}, 1, length({seq}) - {lag})"), ""), F.split(F.expr(f"substring({seq}, {lag + 1})"), ""), lambda a, b: F.concat(a, b))
+    c = df.where(F.length(seq) > lag).select(key, F.explode(pair).alias("p")).where(F.length("p") == 2).groupBy(key, "p").agg(F.count(F.lit(1)).alias("n"))
+    c = c.withColumns({"x": F.substring("p", 1, 1), "y": F.substring("p", 2, 1)})
+    t, xs, ys = c.groupBy(key).agg(F.sum("n").alias("t")), c.groupBy(key, "x").agg(F.sum("n").alias("nx")), c.groupBy(key, "y").agg(F.sum("n").alias("ny"))
+    c = c.join(t, key).join(xs, [key, "x"]).join(ys, [key, "y"])
+    return c.groupBy(key).agg(F.sum(F.col("n") / F.col("t") * F.log2(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))).alias("bits"))

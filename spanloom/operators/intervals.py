@@ -119,9 +119,10 @@ def subtract(left: DataFrame, right: DataFrame, key: str, axis: str = "chrom", b
     return rows.select(key, axis, F.col("p.a").alias("start"), F.col("p.b").alias("end"))
 
 
-def nearest(queries: DataFrame, points: DataFrame, key: str, at: str, point: str, name: str, axis: str = "chrom", bin_size: int = BIN) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, key: str, at: str, point: str, name: str, axis: str = "chrom", bin_size: int = BIN, side: str = "both") -> DataFrame:
     """``queries`` with the nearest point's ``name`` and its distance; of two as near, the one on the left; of several at
-    one place, the least name. Null where the axis has no point.
+    one place, the least name. Null where the axis has no such point. ``side``: left takes points at or before the
+    query, right those at or after it.
 
     Points and queries are swept within (axis, bin); a query without a point on one side of its bin takes it from a
     table with the last and first point of each bin, carried over empty bins.
@@ -135,7 +136,8 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, at: str, point: str
     both = both.withColumn("bin", F.expr(f"pos div {bin_size}"))
     w = Window.partitionBy(axis, "bin").orderBy("pos", "is_q")
     both = both.withColumn("left", F.last("pt", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("right", F.first("pt", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    u = Window.partitionBy(axis, "bin").orderBy("pos", F.desc("is_q"))
+    both = both.withColumn("right", F.first("pt", ignorenulls=True).over(u.rowsBetween(0, Window.unboundedFollowing)))
     ends = both.groupBy(axis, "bin").agg(F.max("pt").alias("last"), F.min("pt").alias("first"))
     v = Window.partitionBy(axis).orderBy("bin")
     ends = ends.select(
@@ -147,7 +149,38 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, at: str, point: str
     got = both.where("is_q = 1").join(ends, (F.col(axis) == F.col("_axis")) & (F.col("bin") == F.col("_bin")), "left")
     a, b = F.coalesce("left", "before"), F.coalesce("right", "after")
     got = got.withColumn("a", a).withColumn("b", b)
+    if side != "both":
+        got = got.withColumn("b" if side == "left" else "a", F.lit(None).cast(got.schema["a"].dataType))
     da, db = F.col("pos") - F.col("a.pos"), F.col("b.pos") - F.col("pos")
     use_left = F.col("b").isNull() | (F.col("a").isNotNull() & (da <= db))
     got = got.select(F.col("key").alias("_k"), F.when(use_left, F.col("a.name")).otherwise(F.col("b.name")).alias("nearest"), F.when(use_left, da).otherwise(db).alias("distance"))
     return queries.join(got, F.col(key) == F.col("_k"), "left").drop("_k")
+
+
+def spacing(df: DataFrame, anchors: DataFrame, key: str, axis: str = "chrom", bin_size: int = BIN) -> DataFrame:
+    """Distance to the nearest anchor that ends at or before the interval's start, and to the nearest that starts at or
+    after its end: key, left_distance, right_distance."""
+    ends = anchors.select(axis, F.col("end").alias("p"), F.lit(0).alias("n"))
+    starts = anchors.select(axis, F.col("start").alias("p"), F.lit(0).alias("n"))
+    a = nearest(df.select(key, axis, "start"), ends, key, "start", "p", "n", axis, bin_size, "left").select(key, F.col("distance").alias("left_distance"))
+    b = nearest(df.select(key, axis, "end"), starts, key, "end", "p", "n", axis, bin_size, "right").select(F.col(key).alias("_k2"), F.col("distance").alias("right_distance"))
+    return a.join(b, F.col(key) == F.col("_k2"), "left").drop("_k2")
+
+
+def edge_distance(size: Column, start: str = "start", end: str = "end") -> Column:
+    """Distance to the nearer end of the axis, 0 at least."""
+    return F.greatest(F.lit(0), F.least(F.col(start), size - F.col(end)))
+
+
+def upstream(df: DataFrame, bp: int) -> DataFrame:
+    """The ``bp`` before each feature in its direction: tss, promoter_start, promoter_end; cut at 0."""
+    minus = F.col("strand") == "-"
+    return df.withColumns({
+        "tss": F.when(minus, F.col("end")).otherwise(F.col("start")),
+        "promoter_start": F.when(minus, F.col("end")).otherwise(F.greatest(F.lit(0), F.col("start") - bp)),
+        "promoter_end": F.when(minus, F.col("end") + bp).otherwise(F.col("start")),
+    })
+
+
+def block_id(size: int, axis: str = "chrom", start: str = "start") -> Column:
+    return F.concat_ws(":", F.col(axis), F.expr(f"cast({start} div {size} as string)"))

@@ -152,3 +152,41 @@ def matched_controls(df: DataFrame, key: str, block: str, strata: list[str], cov
             far = far + F.coalesce(F.abs(F.col(c) - F.col(f"_{c}")) / F.lit(float(s)), F.lit(0.0))
     pairs = df.select(key, block, *strata, *covariates).join(b, cond).select(key, "control", F.round(far, 9).alias("distance"))
     return top_k(pairs, [key], [F.asc("distance"), F.asc("control")], k)
+
+
+def split_conformal(df: DataFrame, residual: str, by: list[str], level: float = 0.95) -> DataFrame:
+    """Half-width of the interval of each group: the ceil((n + 1) * level)-th least absolute residual, the largest at most.
+
+    Taken from the distinct values with their counts."""
+    a = df.where(F.col(residual).isNotNull()).groupBy(*by, F.abs(residual).alias("_a")).agg(F.count(F.lit(1)).alias("_c"))
+    up = Window.partitionBy(*by).orderBy("_a").rowsBetween(Window.unboundedPreceding, 0)
+    a = a.withColumn("_n", F.sum("_c").over(Window.partitionBy(*by))).withColumn("_at", F.sum("_c").over(up))
+    rank = F.least(F.col("_n"), F.ceil((F.col("_n") + 1) * F.lit(level)))
+    return a.where(F.col("_at") >= rank).groupBy(*by).agg(F.min("_a").alias("half_width"), F.first("_n").alias("n"))
+
+
+def block_bootstrap(df: DataFrame, by: list[str], block: str, value: str, draws: int = 500, seed: int = 13) -> DataFrame:
+    """Mean of block means and the 2.5 and 97.5 percentiles of its bootstrap over blocks; null bounds with one block.
+
+    Rows are reduced to a mean a block first; only those reach the resampling, a group a task."""
+    import numpy as np
+    import pandas as pd
+
+    means = df.where(F.col(value).isNotNull()).groupBy(*by, block).agg(F.avg(value).alias("_m"))
+    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+
+    def draw(key, rows: "pd.DataFrame") -> "pd.DataFrame":
+        m = rows.sort_values(block)["_m"].to_numpy(float)
+        rng = np.random.Generator(np.random.PCG64(seed))
+        each = [m[rng.integers(len(m), size=len(m))].mean() for _ in range(draws)] if len(m) > 1 else None
+        low, high = np.percentile(each, [2.5, 97.5]) if each else (None, None)
+        return pd.DataFrame([(*key, len(m), m.mean(), low, high)], columns=[*by, "n_blocks", "mean", "low", "high"])
+
+    return means.groupBy(*by).applyInPandas(draw, f"{types}, n_blocks long, mean double, low double, high double")
+
+
+def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """Rows in each of ``bins`` equal bins of [low, high]; values outside are left out, ``high`` is in the last."""
+    x = F.col(value).cast("double")
+    b = F.least(F.lit(bins - 1), F.floor((x - low) / ((high - low) / bins)))
+    return df.where((x >= low) & (x <= high)).groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -111,6 +111,45 @@ def seq_surrogates(spark, sf_dir):
     return s.select("doc_id", "kind", "replicate", F.length("sequence").alias("length"), _r(seq.gc_content(F.col("sequence"))).alias("gc"), _r(seq.cpg_density(F.col("sequence"))).alias("cpg_density"))
 
 
+_K3 = "k AS (SELECT doc_id, substr(q, i, 3) AS kmer FROM (SELECT doc_id, q, unnest(range(1, length(q) - 1)) AS i FROM seqs)), c AS (SELECT doc_id, kmer, count(*) AS n FROM k GROUP BY ALL)"
+
+
+@query(f"""WITH {SEQS}, {_K3}, h AS (SELECT doc_id, substr(kmer, 1, 2) AS h, sum(n) AS m, sum(n * log2(n)) AS s FROM c GROUP BY ALL)
+SELECT doc_id, round((sum(m * log2(m)) - sum(s)) / sum(m), 6) AS bits FROM h GROUP BY doc_id""")
+def conditional_entropy_k2(spark, sf_dir):
+    return seq.conditional_entropy(sequences(spark, sf_dir), "doc_id", "q", 2).select("doc_id", _r("bits").alias("bits"))
+
+
+@query(f"""WITH {SEQS}, k AS (SELECT chrom, substr(q, i, 2) AS kmer FROM (SELECT chrom, q, unnest(range(1, length(q))) AS i FROM seqs)), c AS (SELECT chrom, kmer, count(*) AS n FROM k GROUP BY ALL)
+SELECT chrom, kmer, round(n * sum(n) OVER (PARTITION BY chrom) / (sum(n) OVER (PARTITION BY chrom, substr(kmer, 1, 1)) * sum(n) OVER (PARTITION BY chrom, substr(kmer, 2, 1))), 6) AS odds FROM c""")
+def dinucleotide_odds(spark, sf_dir):
+    return seq.dinucleotide_odds(sequences(spark, sf_dir), "chrom", "q").select("chrom", "kmer", _r("odds").alias("odds"))
+
+
+_HALF = "SELECT doc_id, substr(h, i, 3) AS kmer, count(*) AS n FROM (SELECT doc_id, h, unnest(range(1, length(h) - 1)) AS i FROM (SELECT doc_id, {} AS h FROM seqs)) GROUP BY ALL"
+
+
+@query(f"""WITH {SEQS}, l AS ({_HALF.format("substr(q, 1, length(q) // 2)")}), r AS ({_HALF.format("substr(q, length(q) // 2 + 1)")}),
+a AS (SELECT doc_id, kmer, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM l), b AS (SELECT doc_id, kmer, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM r)
+SELECT doc_id, round(sum(abs(coalesce(a.p, 0) - coalesce(b.p, 0))) / 2 + 1e-9, 6) AS distance FROM a FULL JOIN b USING (doc_id, kmer) GROUP BY doc_id""")
+def half_distance_k3(spark, sf_dir):
+    return seq.half_distance(sequences(spark, sf_dir), "doc_id", "q", 3).select("doc_id", _r(F.col("distance") + 1e-9).alias("distance"))
+
+
+@query(f"""WITH {SEQS}, {_K3}, s AS (SELECT *, reverse(translate(kmer, 'ACGT', 'TGCA')) AS rc FROM c), p AS (
+SELECT doc_id, least(kmer, rc) AS canon, abs(sum(CASE WHEN kmer <= rc THEN n ELSE -n END)) / sum(n) AS bias FROM s WHERE kmer <> rc GROUP BY ALL)
+SELECT doc_id, round(avg(bias), 6) AS asymmetry FROM p GROUP BY doc_id""")
+def strand_asymmetry_k3(spark, sf_dir):
+    return seq.strand_asymmetry(sequences(spark, sf_dir), "doc_id", "q", 3).select("doc_id", _r("asymmetry").alias("asymmetry"))
+
+
+@query(f"""WITH {SEQS}, p AS (SELECT doc_id, substr(q, i, 1) AS x, substr(q, i + 7, 1) AS y FROM (SELECT doc_id, q, unnest(range(1, length(q) - 6)) AS i FROM seqs)),
+c AS (SELECT doc_id, x, y, count(*) AS n FROM p GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t, sum(n) OVER (PARTITION BY doc_id, x) AS nx, sum(n) OVER (PARTITION BY doc_id, y) AS ny FROM c)
+SELECT doc_id, round(sum(n / t * log2(n * t / (nx * ny))), 6) AS bits FROM m GROUP BY doc_id""")
+def mutual_information_lag7(spark, sf_dir):
+    return seq.mutual_information(sequences(spark, sf_dir), "doc_id", "q", 7).select("doc_id", _r("bits").alias("bits"))
+
+
 # Windows
 
 _SIZE_ROWS = ", ".join(f"({w}, {max(1, w // 2)}, {i})" for i, w in enumerate(SIZES))
@@ -203,6 +242,23 @@ def nearest_point(spark, sf_dir):
     return iv.nearest(q, _kind(all_, "click"), "event_id", "centre", "start", "event_id").select("event_id", "nearest", "distance")
 
 
+@query(f"""WITH {_AB} SELECT a.event_id, a.s - (SELECT max(b.e) FROM b WHERE b.chrom = a.chrom AND b.e <= a.s) AS left_distance,
+(SELECT min(b.s) FROM b WHERE b.chrom = a.chrom AND b.s >= a.e) - a.e AS right_distance FROM a""")
+def anchor_spacing(spark, sf_dir):
+    left, right = _sides(spark, sf_dir)
+    return iv.spacing(left, right, "event_id")
+
+
+@query(f"""WITH {IV}, t AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN '-' ELSE '+' END AS strand, max(e) OVER (PARTITION BY chrom) AS size FROM iv)
+SELECT event_id, CASE WHEN strand = '-' THEN e ELSE s END AS tss, CASE WHEN strand = '-' THEN e ELSE greatest(0, s - 1000) END AS promoter_start,
+CASE WHEN strand = '-' THEN e + 1000 ELSE s END AS promoter_end, greatest(0, least(s, size - e)) AS edge, chrom || ':' || (s // 100000) AS block FROM t""")
+def promoters_edges_blocks(spark, sf_dir):
+    all_ = intervals(spark, sf_dir).withColumn("strand", F.when(F.col("event_id") % 2 == 0, "-").otherwise("+"))
+    sizes = all_.groupBy("chrom").agg(F.max("end").alias("size"))
+    x = iv.upstream(all_.join(sizes, "chrom"), 1000)
+    return x.select("event_id", "tss", "promoter_start", "promoter_end", iv.edge_distance(F.col("size")).alias("edge"), iv.block_id(100000).alias("block"))
+
+
 _ISLANDS = """o AS (SELECT *, max(e) OVER (PARTITION BY chrom, event_type ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {src}),
 f AS (SELECT *, sum(CASE WHEN before IS NULL OR s >= before THEN 1 ELSE 0 END) OVER (PARTITION BY chrom, event_type ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o)"""
 
@@ -345,3 +401,21 @@ def sliding_counts(spark, sf_dir):
     """An extension beyond the interval operators: windows on the time axis; the same code runs on a stream."""
     s = sliding.sliding_counts(table(spark, sf_dir, "events"))
     return s.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", _r("total", 4).alias("total"))
+
+
+@query("""WITH r AS (SELECT event_type, abs(value - 200) AS a, row_number() OVER (PARTITION BY event_type ORDER BY abs(value - 200)) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, round(max(a) FILTER (k = least(n, CAST(ceil((n + 1) * 0.95e0) AS BIGINT))), 6) AS half_width, max(n) AS n FROM r GROUP BY 1""")
+def conformal_width(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("off", F.col("value") - 200)
+    return stats.split_conformal(e, "off", ["event_type"]).select("event_type", _r("half_width").alias("half_width"), "n")
+
+
+@query("""SELECT CAST(least(19, floor((value - 0) / 25.0e0)) AS INTEGER) AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 500 GROUP BY 1""")
+def value_histogram(spark, sf_dir):
+    return stats.histogram(table(spark, sf_dir, "events"), "value", 0.0, 500.0, 20)
+
+
+@query()
+def block_bootstrap(spark, sf_dir):
+    """Mean of user means by event type with a bootstrap interval over users."""
+    return stats.block_bootstrap(table(spark, sf_dir, "events"), ["event_type"], "user_id", "value")
