@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.bpe import decode_ids, encode_texts, load_ranks, unpack_ids
-from spanloom.llm.common import durable, without_ids
+from spanloom.llm.bpe import encode_texts, load_ranks
+from spanloom.llm.common import bounded, durable, fresh, without_ids
 from spanloom.llm.decontaminate import decontaminate
 from spanloom.llm.exact import drop_duplicates
 from spanloom.llm.language import UNKNOWN, identify, train, trusted
@@ -23,7 +23,11 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the classifier rejects."""
     model = train(docs.where(trusted(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return identify(docs.withColumn("_whole", F.col("text")), model, "_whole", tuple(docs.columns)).where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+    own_id, own_sha = fresh(docs.columns, "_id"), fresh(docs.columns, "_sha")
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    found = identify(docs.select(F.col("doc_id").alias(own_id), sha.alias(own_sha), "text"), model, keep=(own_id, own_sha))
+    gone = durable(found.where(F.col("lang_pred") == UNKNOWN).select(own_id, own_sha).distinct(), "rejected")
+    return docs.join(bounded(gone), F.col("doc_id").eqNullSafe(F.col(own_id)) & (sha == F.col(own_sha)), "left_anti")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +52,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     vocabulary, pattern = load_ranks(public_tokenizers.path(TOKENIZER)), public_tokenizers.PATTERN
     src = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha"))
-    coded = decode_ids(encode_texts(src, vocabulary, pattern), vocabulary, pattern)
+    coded = encode_texts(src, vocabulary, pattern, decoded_col="decoded", packed=False)
     same = (F.sha2("decoded", 256) == F.col("_sha")).alias("round_trip")
-    n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
-    return unpack_ids(coded.select("doc_id", n, "ids", same))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same)
 
 
 STAGES = [

@@ -11,7 +11,8 @@ A null text counts as empty and gives no tokens. Special tokens are never made;
 from __future__ import annotations
 
 import base64
-import heapq
+import struct
+from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -19,9 +20,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
+
 #: Distinct pre-tokens whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
-BLOCK_BYTES = 4 << 20
+REMEMBERED = 300_000
+REMEMBERED_CHARS = 32
+BLOCK_BYTES = 1 << 20
 
 
 def load_ranks(path: str) -> bytes:
@@ -30,45 +34,6 @@ def load_ranks(path: str) -> bytes:
         return f.read()
 
 
-class RankQueue:
-    """Positions by rank; ``pop`` gives the least rank's leftmost position."""
-
-    def __init__(self, ranks: int):
-        words = (ranks >> 6) + 1
-        self.low, self.mid, self.top = [0] * words, [0] * ((words >> 6) + 1), 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        w = rank >> 6
-        if not self.low[w]:
-            m = w >> 6
-            self.mid[m] |= 1 << (w & 63)
-            self.top |= 1 << m
-        self.low[w] |= 1 << (rank & 63)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        m = (self.top & -self.top).bit_length() - 1
-        w = (m << 6) + (self.mid[m] & -self.mid[m]).bit_length() - 1
-        rank = (w << 6) + (self.low[w] & -self.low[w]).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[w] ^= 1 << (rank & 63)
-            if not self.low[w]:
-                self.mid[m] ^= 1 << (w & 63)
-                if not self.mid[m]:
-                    self.top ^= 1 << m
-        return rank, at
-
-
 class Memory(dict):
     """Pre-token to packed ids; fills itself."""
 
@@ -76,8 +41,9 @@ class Memory(dict):
         self.bpe = bpe
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.bpe.merge(word.encode("utf-8")), "<u4").tobytes()
-        if len(word) <= 64:
+        ids = self.bpe.merge(word.encode("utf-8"))
+        ids = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[word] = ids
@@ -85,57 +51,106 @@ class Memory(dict):
 
 
 class ByteBPE:
+    """Ranks are ids. ``pairs`` maps two ids, as ``left << 20 | right``, to the id of their join."""
+
     def __init__(self, vocabulary: bytes, pattern: str):
-        pairs = (line.split() for line in vocabulary.splitlines() if line.strip())
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        lines = (line.split() for line in vocabulary.splitlines() if line.strip())
+        self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.tokens: dict[int, bytes] = {rank: token for token, rank in self.ranks.items()}
-        self.queue = RankQueue(max(self.ranks.values()) + 1)
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
+        self.pairs = {}
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << 20 | right] = rank
+        n = max(self.tokens) + 1
+        self.buckets: list[list[int] | None] = [None] * n
+        self.low, self.mid = [0] * ((n >> 6) + 1), [0] * ((n >> 12) + 1)
         self.pattern = regex.compile(pattern)
         self.memory = Memory(self)
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ranks, queue = self.ranks, self.queue
-        whole = ranks.get(piece)
+        """The ids of one pre-token.
+
+        The queue is empty before and after: ``buckets`` by rank, and the bitmap ``top`` of words of ``mid``, which is
+        one of words of ``low``, which has a bit for each rank whose bucket is not empty.
+        """
+        whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
-        part = [piece[i : i + 1] for i in range(n)]
+        single, get, buckets, low, mid, top = self.single, self.pairs.get, self.buckets, self.low, self.mid, 0
+        ids = [single[b] for b in piece]
+        n = len(ids)
+        pair = [get(a << 20 | b, -1) for a, b in zip(ids, ids[1:])]
+        pair.append(-1)
+        for i, r in enumerate(pair):
+            if r >= 0:
+                bucket = buckets[r]
+                if bucket is None:
+                    buckets[r] = [i]
+                    w, m = r >> 6, r >> 12
+                    low[w] |= 1 << (r & 63)
+                    mid[m] |= 1 << (w & 63)
+                    top |= 1 << m
+                else:
+                    bucket.append(i)
+        if not top:
+            return ids
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n
-        push, pop, get = queue.push, queue.pop, ranks.get
-        for i in range(n - 1):
-            r = get(piece[i : i + 2])
-            if r is not None:
-                pair[i] = r
-                push(r, i)
-        while (top := pop()) is not None:
-            rank, at = top
+        while top:
+            m = (top & -top).bit_length() - 1
+            x = mid[m]
+            w = (m << 6) + (x & -x).bit_length() - 1
+            y = low[w]
+            rank = (w << 6) + (y & -y).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                at = heappop(bucket)
+            else:
+                at = bucket[0]
+                buckets[rank] = None
+                low[w] = y = y & (y - 1)
+                if not y:
+                    mid[m] = x = x & (x - 1)
+                    if not x:
+                        top &= top - 1
             if pair[at] != rank:
                 continue
             gone = right[at]
-            part[at] += part[gone]
-            pair[gone] = -1
+            ids[at] = rank
+            pair[gone] = ids[gone] = -1
             after = right[at] = right[gone]
+            pair[at] = -1
             if after < n:
                 left[after] = at
-                r = get(part[at] + part[after])
-                pair[at] = -1 if r is None else r
+                r = get(rank << 20 | ids[after])
                 if r is not None:
-                    push(r, at)
-            else:
-                pair[at] = -1
+                    pair[at] = r
+                    bucket = buckets[r]
+                    if bucket is None:
+                        buckets[r] = [at]
+                        w, m = r >> 6, r >> 12
+                        low[w] |= 1 << (r & 63)
+                        mid[m] |= 1 << (w & 63)
+                        top |= 1 << m
+                    else:
+                        heappush(bucket, at)
             before = left[at]
             if before >= 0:
-                r = get(part[before] + part[at])
-                pair[before] = -1 if r is None else r
-                if r is not None:
-                    push(r, before)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[part[i]])
-            i = right[i]
-        return out
+                r = get(ids[before] << 20 | rank, -1)
+                pair[before] = r
+                if r >= 0:
+                    bucket = buckets[r]
+                    if bucket is None:
+                        buckets[r] = [before]
+                        w, m = r >> 6, r >> 12
+                        low[w] |= 1 << (r & 63)
+                        mid[m] |= 1 << (w & 63)
+                        top |= 1 << m
+                    else:
+                        heappush(bucket, before)
+        return [i for i in ids if i >= 0]
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
@@ -177,19 +192,29 @@ def _blocks(batch: pa.RecordBatch, column: str):
         yield at, batch.num_rows - at
 
 
-def _replace(batch: pa.RecordBatch, drop: str | None, name: str, values: list[bytes]) -> pa.RecordBatch:
-    names = [n for n in batch.schema.names if n != drop]
-    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(values, pa.binary())], [*names, name])
+def _packed(values: list[bytes]) -> pa.Array:
+    return pa.array(values, pa.binary())
+
 
+def _unpacked(values: list[bytes]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in values], dtype=np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(values), "<i4")))
 
-def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the text replaced by its ids, packed as little-endian unsigned 32-bit integers.
 
-    The vocabulary (about a megabyte) is broadcast, so executors need no file.
+def _schema(docs: DataFrame, without: str | None, **more: str) -> str:
+    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != without]
+    return ", ".join([*rest, *(f"`{name}` {kind}" for name, kind in more.items())])
+
+
+def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, packed: bool = True) -> DataFrame:
+    """``docs`` with the text replaced by its ids: packed as little-endian unsigned 32-bit integers, or an array.
+
+    With ``decoded_col`` the ids are decoded again in the same pass, and the bytes returned beside them.
+    The vocabulary (about a megabyte) is broadcast, so executors need no file. Other columns pass as they are; the new
+    names must not be among them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    rest = [f for f in docs.schema.fields if f.name != text_col]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"`{ids_col}` binary"])
+    more = {ids_col: "binary" if packed else "array<int>"} | ({decoded_col: "binary"} if decoded_col else {})
 
     def run(batches):
         bpe = _codec(shared.value, pattern)
@@ -197,35 +222,24 @@ def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, text_col: str
             for at, n in _blocks(whole, text_col):
                 batch = whole.slice(at, n)
                 ids = [bpe.encode(x) if x else b"" for x in batch.column(text_col).to_pylist()]
-                yield _replace(batch, text_col, ids_col, ids)
+                columns = [batch.column(c) for c in batch.schema.names if c != text_col] + [_packed(ids) if packed else _unpacked(ids)]
+                if decoded_col:
+                    columns.append(_packed([bpe.decode(x) for x in ids]))
+                yield pa.RecordBatch.from_arrays(columns, [*(c for c in batch.schema.names if c != text_col), *more])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, _schema(docs, text_col, **more))
 
 
 def decode_ids(docs: DataFrame, vocabulary: bytes, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``docs`` with the bytes that the packed ids stand for."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{out_col}` binary"])
 
     def run(batches):
         bpe = _codec(shared.value, pattern)
         for whole in batches:
             for at, n in _blocks(whole, ids_col):
                 batch = whole.slice(at, n)
-                yield _replace(batch, None, out_col, [bpe.decode(x) for x in batch.column(ids_col).to_pylist()])
-
-    return docs.mapInArrow(run, schema)
-
-
-def unpack_ids(docs: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the packed ids as an array of integers."""
-    schema = ", ".join(f"`{f.name}` {'array<int>' if f.name == ids_col else f.dataType.simpleString()}" for f in docs.schema.fields)
-
-    def run(batches):
-        for batch in batches:
-            packed = batch.column(ids_col).to_pylist()
-            ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed], dtype=np.int64)))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-            yield pa.RecordBatch.from_arrays([ids if n == ids_col else batch.column(n) for n in batch.schema.names], batch.schema.names)
+                decoded = _packed([bpe.decode(x) for x in batch.column(ids_col).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, out_col])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, _schema(docs, None, **{out_col: "binary"}))

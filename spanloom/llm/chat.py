@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 START, END = "<|im_start|>", "<|im_end|>"
 _RAW = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
@@ -192,7 +194,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
         text = F.struct(F.lit("text").alias("kind"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), none.cast("string").alias("ref"), none.cast("double").alias("size"))
         parts = F.array(text)
     src = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), parts.alias("parts"))
-    return src.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", F.to_json("parts")).mapInArrow(_format, SCHEMA)
+    return map_arrow(src.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", F.to_json("parts")), _format, SCHEMA)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -217,4 +219,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_arrow(formatted, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A key list of at most this many rows (about 16 bytes each) is broadcast; above it the join shuffles.
 BROADCAST_ROWS = 500_000
+BATCH_ROWS = 500
 #: A key with more than 1/HOT_SHARE of all rows is hot; by counting there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
 
@@ -33,6 +34,36 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of BATCH_ROWS rows, where the session has Spark's own default.
+
+    Texts are long and a worker holds several copies of a batch, so 10,000 rows would take hundreds of megabytes.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
+class Scratch:
+    """Durable tables of one job, which it removes once its result no longer reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths.clear()
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (the join then shuffles)."""
     few = df.limit(rows + 1).count() <= rows if rows else False
@@ -56,6 +87,14 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: i
     return out.select(*rows.columns, *[got[c].alias(c) for c in cols])
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until it is none of ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
@@ -63,5 +102,6 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` less the rows whose id is in ``ids``; rows with a null id stay."""
-    gone = ids.select(F.col(id_col).alias("_gone"))
-    return docs.join(bounded(gone), F.col(id_col) == F.col("_gone"), "left_anti")
+    name = fresh(docs.columns, "_gone")
+    gone = ids.select(F.col(id_col).alias(name))
+    return docs.join(bounded(gone), F.col(id_col) == F.col(name), "left_anti")

@@ -8,7 +8,8 @@ item that is shorter). Together the masks hit every stretch of 13 words with up
 one (checked in the tests).
 
 Test items are broadcast in blocks of bounded size, one scan of the texts for each block. Null and empty texts and items
-overlap with nothing; items with fewer words than ``SHORTEST`` are matched only as exact whole runs of words if they
+overlap with nothing; a text whose row repeats is reported once or more, a null id as null, and ``decontaminate`` keeps
+rows with a null id, which nothing can name. Items with fewer words than ``SHORTEST`` are matched only as exact whole runs of words if they
 have at least that many, else not at all: they would fit clean texts. Repeated items are reported for each.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
-from .common import bounded, durable
+from .common import durable, map_arrow, without_ids
 
 #: Positions read by each seed.
 MASKS = ("11101011", "110110011", "1100101101", "1110001011")
@@ -129,7 +130,7 @@ def overlaps(docs: DataFrame, items: DataFrame, least: int = LEAST, percent: int
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect() if size else []
         index = docs.sparkSession.sparkContext.broadcast(Index([r[0] for r in part], [r[1] for r in part], masks))
         schema = "doc_id long, item_id long, doc_from long, doc_to long, item_from long, same_words long"
-        found = src.mapInArrow(_find(index, least, percent), schema)
+        found = map_arrow(src, _find(index, least, percent), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -147,5 +148,4 @@ def contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """``docs`` without the documents that overlap with a test item."""
-    gone = durable(overlaps(docs, items, **how).select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
-    return docs.join(bounded(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without_ids(docs, durable(overlaps(docs, items, **how).select("doc_id").distinct(), "leaks"))

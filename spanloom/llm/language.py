@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
+from .common import fresh, map_arrow
 
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE = 4000
@@ -46,7 +47,7 @@ def family(language: str) -> str:
 
 def features(column: pa.Array):
     """Blocks of (first row, unit vectors of 2 * SIZE hashed counts); an empty text has a zero vector."""
-    for first, n, data, offsets in K.chunks(pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))):
+    for first, n, data, offsets in K.chunks(pc.utf8_lower(column)):
         b = _FOLD[data].astype(np.uint32)
         for at in range(0, n, 256):
             to = min(n, at + 256)
@@ -161,7 +162,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: in
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(first, len(x)), pa.array([r.tobytes() for r in keep], pa.binary())], ["lang", "x"])
 
     good = labelled.where(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    rows = sample(good, per_language, most).select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow()
+    rows = map_arrow(sample(good, per_language, most).select("lang", "text"), run, "lang string, x binary").toArrow()
     if not rows.num_rows:
         return None
     lang = rows["lang"].to_pylist()
@@ -171,16 +172,21 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: in
     return Model(x, [lang[i] for i in order])
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of every row, lang_pred and score."""
-    src = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name != "_text"), "lang_pred string", "score double"])
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of every row, and the language and score under the names ``out``.
+
+    ``keep`` may hold the text and any other columns; ``out`` must not be among them.
+    """
+    text_in = next((c for c in keep if c == text_col), None) or fresh(list(keep), "_text")
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text_in in keep else [F.col(text_col).alias(text_in)]))
+    src = src.withColumn(text_in, F.col(text_in).cast("string"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keep), f"`{out[0]}` string", f"`{out[1]}` double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         known = shared.value
         for batch in batches:
-            text = batch.column("_text")
+            text = batch.column(text_in)
             letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             if known is not None:
@@ -190,9 +196,9 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
                     scores[first : first + len(x)] = s
             names = [n if ok else UNKNOWN for n, ok in zip(names, letters)]
             scores = np.where(letters, scores, 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, *out])
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def trusted(doc_id: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, durable
+from .common import bounded, durable, map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 5
@@ -167,7 +167,7 @@ def patterns(seeds: DataFrame, others: DataFrame, turns: int = TURNS) -> DataFra
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """A row for each row: doc_id, base counts by kind, base and all spans as arrays of (start, kind, end), n_added."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = durable(src.mapInArrow(_scan, SCANNED), "scanned")
+    scanned = durable(map_arrow(src, _scan, SCANNED), "scanned")
     seeds = scanned.select(F.explode("seeds").alias("s")).select("s.*")
     others = scanned.select("row", F.explode("others").alias("o")).select("row", "o.*")
     good = patterns(seeds, others).where((F.col("seeds") >= support) & (F.col("reliability") >= confident))

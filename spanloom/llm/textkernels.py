@@ -25,7 +25,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -54,12 +54,13 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     """(first row, rows, bytes, offsets) of runs of rows with about CHUNK bytes; null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    n = len(column)
-    if not n:
+    if not len(column):
         return
+    if column.null_count:
+        column = column.fill_null("")
+    n, wide = len(column), pa.types.is_large_string(column.type)
     _, offs, data = column.buffers()
-    offsets = np.frombuffer(offs, np.int64)[column.offset : column.offset + n + 1]
+    offsets = np.frombuffer(offs, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < n:

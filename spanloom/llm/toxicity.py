@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
+from .common import map_arrow
 
 SAMPLE = 2000
 SAMPLE_CHARS = 20_000
@@ -277,7 +278,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep:
             spans = [[{k: s[k] for k in ("start", "end", "marginal")} for s in own] for own in spans]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array(spans, kind)], [*keep, "score", "spans"])
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def trusted(doc_id: Column) -> Column:

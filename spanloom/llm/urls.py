@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 MOST_RULES = 1_000_000
 
 
@@ -84,4 +86,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
             columns = [*batch.columns, pa.array([r for r, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "rule", "verdict"])
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spanloom.llm.bpe import ByteBPE, decode_ids, encode_texts, load_ranks, unpack_ids
+from spanloom.llm.bpe import ByteBPE, decode_ids, encode_texts, load_ranks
 
 VOCABULARY = load_ranks(P.path("byte_bpe_50k.tiktoken"))
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, VOCABULARY.splitlines())}
@@ -41,7 +41,8 @@ def test_frames(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, decoded_ long")
     coded = decode_ids(encode_texts(df, VOCABULARY, P.PATTERN), VOCABULARY, P.PATTERN)
     assert coded.columns == ["doc_id", "decoded_", "ids", "decoded"]
-    got = unpack_ids(coded).withColumn("t", F.col("decoded").cast("string")).collect()
+    got = coded.withColumn("t", F.col("decoded").cast("string")).collect()
     assert sorted((r["t"], str(r["doc_id"])) for r in got) == sorted((t or "", str(i)) for i, t, _ in rows)
-    assert all(list(r["ids"]) == WANT.encode_ordinary(r["t"]) for r in got)
-    assert unpack_ids(encode_texts(df.limit(0), VOCABULARY, P.PATTERN)).count() == 0
+    both = encode_texts(df, VOCABULARY, P.PATTERN, decoded_col="decoded", packed=False).withColumn("t", F.col("decoded").cast("string")).collect()
+    assert len(both) == len(rows) and all(list(r["ids"]) == WANT.encode_ordinary(r["t"]) for r in both)
+    assert encode_texts(df.limit(0), VOCABULARY, P.PATTERN, packed=False).count() == 0
