@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, durable, with_group
+from .common import bounded, durable, fresh, with_group
 
 PREFIX = 64
 BITS = 1 << 22
@@ -32,7 +32,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bit = F.pmod("head", F.lit(BITS))
     words = heads.groupBy((bit / 64).cast("int").alias("_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("_bits"))
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), *[c.alias(k) for k, c in (also or {}).items()])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"), *[c.alias(k) for k, c in (also or {}).items()])
     rows = rows.withColumn("head", F.xxhash64(F.octet_length("_text"), F.substring("_text", 1, PREFIX)))
     rows = rows.join(F.broadcast(words), (bit / 64).cast("int") == F.col("_w"), "left")
     is_set = F.coalesce(F.call_function("getbit", F.col("_bits"), (bit % 64).cast("int")) == 1, F.lit(False))
@@ -55,12 +55,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each text, all columns as they were."""
     found = durable(exact_groups(docs, id_col, text_col), "exact")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_sha"))
+    own_id, own_sha = fresh(docs.columns, "_id"), fresh(docs.columns, "_sha")
+    gone = found.where("not kept").select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_sha))
     sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    out = docs.join(bounded(gone), F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
+    out = docs.join(bounded(gone), F.col(id_col).eqNullSafe(F.col(own_id)) & (sha == F.col(own_sha)), "left_anti")
     again = found.where("kept and text_hash is not null").groupBy("text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = durable(again.select(F.col("text_hash").alias("_sha")), "again")
+    again = durable(again.select(F.col("text_hash").alias(own_sha)), "again")
     if again.isEmpty():
         return out
-    once = out.join(bounded(again), sha == F.col("_sha"), "left_semi").withColumn("_sha", sha).dropDuplicates(["_sha"]).drop("_sha")
-    return out.join(bounded(again), sha == F.col("_sha"), "left_anti").unionByName(once)
+    once = out.join(bounded(again), sha == F.col(own_sha), "left_semi").withColumn(own_sha, sha).dropDuplicates([own_sha]).drop(own_sha)
+    return out.join(bounded(again), sha == F.col(own_sha), "left_anti").unionByName(once)
