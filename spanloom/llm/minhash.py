@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
-from .common import bounded, durable, with_group, without_ids
+from .common import Scratch, bounded, durable, map_arrow, with_group
 
 BANDS = 32
 ROWS = 4
@@ -31,7 +31,6 @@ CENTRES = 8
 MOST_CENTRES = 64
 #: Rounds whose pairs are written and confirmed by two joins; later ones compare the few texts left where they meet.
 PAIR_TURNS = 2
-VERBOSE = False
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
@@ -100,37 +99,38 @@ def _sets(k: int):
     return run
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, keep=durable) -> DataFrame:
     """(node, component): the least node reachable, for each node of the undirected edges (a, b).
 
     Every round points each node at its least neighbour, follows the pointers twice and contracts the edges.
+    ``keep`` writes a table.
     """
     maps = None
-    edges = durable(edges.where("a <> b").select("a", "b").distinct(), name)
+    edges = keep(edges.where("a <> b").select("a", "b").distinct(), "components")
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a")).toDF("node", "other")
         up = both.groupBy("node").agg(F.least("node", F.min("other")).alias("parent"))
-        up = durable(up, name)
+        up = keep(up, "components")
         one, two = up.toDF("n1", "p1"), up.toDF("n2", "p2")
         up = one.join(two, F.col("p1") == F.col("n2")).select(F.col("n1").alias("node"), F.col("p2").alias("parent"))
-        up = durable(up, name)
+        up = keep(up, "components")
         if maps is None:
             maps = up
         else:
             step = up.toDF("_n", "_p")
             maps = maps.join(step, F.col("parent") == F.col("_n"), "left").select("node", F.coalesce("_p", "parent").alias("parent"))
-            maps = durable(maps, name)
+            maps = keep(maps, "components")
         left, right = up.toDF("_a", "_pa"), up.toDF("_b", "_pb")
         edges = edges.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
-        edges = durable(edges.select(F.col("_pa").alias("a"), F.col("_pb").alias("b")).where("a <> b").distinct(), name)
+        edges = keep(edges.select(F.col("_pa").alias("a"), F.col("_pb").alias("b")).where("a <> b").distinct(), "components")
     if maps is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return maps.toDF("node", "component")
 
 
 def _heads(members: DataFrame, centres: int) -> DataFrame:
-    """For each bucket with several components, its next centres: the plainest text or least id, then one of each of a few components, so that a
-    lone text beside a large component is met by all of it in one round."""
+    """For each bucket with several components, its next centres: the plainest text or least id, then one of each of a
+    few components, so that a lone text beside a large component is met by all of it in one round."""
     orders = [F.struct("rank", "id")] + [F.xxhash64("comp", F.lit(j)) for j in range(1, centres)]
     least = [F.min(F.struct(o.alias("o"), "id", "comp", "n", "rank")).alias(f"h{j}") for j, o in enumerate(orders)]
     heads = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *least).where("lo < hi")
@@ -143,29 +143,29 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(still, F.col("bucket") == F.col("_b"), "left_semi")
 
 
-def _prefixes(members: DataFrame, src: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _prefixes(keep, members: DataFrame, src: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The documents of open buckets, dealt anew by the rarest shingles of each: an exact filter.
 
     Two sets of that similarity share one of the first ``n - ceil(percent * n / 100) + 1`` of each in any common order.
     In order of rarity, a text with more shingles of its own than that is out, so lists stay short or of one component.
     """
-    own = durable(_open(members).groupBy("id").agg(F.first("comp").alias("comp"), F.first("n").alias("n")), "rest")
-    sets = durable(_set_table(own.select("id"), src, shingle), "sets")
+    own = keep(_open(members).groupBy("id").agg(F.first("comp").alias("comp"), F.first("n").alias("n")), "rest")
+    sets = keep(_set_table(own.select("id"), src, shingle), "sets")
     each = sets.select(F.col("doc_id").alias("id"), F.explode("set").alias("h"))
-    often = durable(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.col("h").alias("_h"), "df"), "often")
+    often = keep(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.col("h").alias("_h"), "df"), "often")
     common = each.join(often, F.col("h") == F.col("_h")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("k"))
     common = own.join(common.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).withColumn("rank", F.col("n") - F.size("k"))
     take = F.expr(f"n - cast(ceil({percent} * n / 100) as int) + 1 - rank")
     rows = common.where(take > 0).select(F.explode(F.slice("k", F.lit(1), take)["h"]).alias("bucket"), "id", "comp", "n", "rank")
-    return durable(rows, "prefixes"), sets
+    return keep(rows, "prefixes"), sets
 
 
-def _inline(members: DataFrame, heads: DataFrame, sets: DataFrame, may, percent: int) -> DataFrame:
+def _inline(keep, members: DataFrame, heads: DataFrame, sets: DataFrame, may, percent: int) -> DataFrame:
     """The links (a, b, ca, cb) of members to the centres of their bucket, compared on full sets where they meet: no pair is emitted."""
     own = sets.toDF("_i", "_s")
     each = heads.select("_b", F.explode("heads").alias("h")).join(own, F.col("h.id") == F.col("_i"))
     each = each.groupBy("_b").agg(F.collect_list(F.struct("h.id", "h.comp", "h.n", "h.rank", F.col("_s").alias("s"))).alias("hs"))
-    rows = members.join(own, F.col("id") == F.col("_i")).drop("heads").join(durable(each, "centres"), F.col("bucket") == F.col("_b"))
+    rows = members.join(own, F.col("id") == F.col("_i")).drop("heads").join(keep(each, "centres"), F.col("bucket") == F.col("_b"))
     shared = lambda h: F.size(F.array_intersect(h["s"], F.col("_s")))
     alike = lambda h: may(h) & (shared(h) * (100 + percent) >= percent * (F.col("n") + h["n"]))
     met = rows.select("id", "comp", F.explode(F.transform(F.filter("hs", alike), lambda h: F.struct(h["id"].alias("id"), h["comp"].alias("comp")))).alias("c"))
@@ -175,14 +175,14 @@ def _inline(members: DataFrame, heads: DataFrame, sets: DataFrame, may, percent:
 def _set_table(ids: DataFrame, src: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, set) of the given ids."""
     ids = ids.toDF("_id")
-    texts = src.join(bounded(ids), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return texts.mapInArrow(_sets(shingle), "doc_id long, set array<long>")
+    texts = src.join(bounded(ids), F.col("doc_id") == F.col("_id"), "left_semi")
+    return map_arrow(texts, _sets(shingle), "doc_id long, set array<long>")
 
 
-def _confirm(pairs: DataFrame, src: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _confirm(keep, pairs: DataFrame, src: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b, ...) whose full shingle sets have that Jaccard similarity."""
     ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-    sets = durable(_set_table(ids, src, shingle), "sets")
+    sets = keep(_set_table(ids, src, shingle), "sets")
     left, right = sets.toDF("_ia", "_sa"), sets.toDF("_ib", "_sb")
     both = pairs.join(left, F.col("a") == F.col("_ia")).join(right, F.col("b") == F.col("_ib"))
     shared = F.size(F.array_intersect("_sa", "_sb"))
@@ -207,49 +207,51 @@ def near_duplicates(
     if bands * rows & (bands * rows - 1):
         raise ValueError("bands * rows must be a power of two")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = durable(src.mapInArrow(_sign("doc_id", "text", shingle, bands, rows), SIGNED), "signed")
+    keep = Scratch(docs.sparkSession)
+    signed = durable(map_arrow(src, _sign("doc_id", "text", shingle, bands, rows), SIGNED), "signed")
     total = signed.count()
+    if not signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        src = src.dropDuplicates(["doc_id"])  # ids alone tell whether texts must be shuffled for this
     same = ["n_shingles", "set_a", "set_b"]
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.min_by("bands", "doc_id").alias("bands")
     )
-    classes = durable(classes.withColumn("class", F.struct(*same)), "classes")
+    classes = keep(classes.withColumn("class", F.struct(*same)), "classes")
 
     members = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), F.col("rep").alias("comp"), F.col("n_shingles").cast("int").alias("n"), F.lit(0).alias("rank"))
     found, turn = None, 0
     while True:
-        heads = durable(_heads(members, min(centres << turn, MOST_CENTRES) if turn else 1), "heads")
+        heads = keep(_heads(members, min(centres << turn, MOST_CENTRES) if turn else 1), "heads")
         if heads.isEmpty():
             break
-        members = durable(members.join(heads, F.col("bucket") == F.col("_b")).drop("_b"), "members")
+        members = keep(members.join(heads, F.col("bucket") == F.col("_b")).drop("_b"), "members")
         most = lambda h: F.least(F.col("n") - F.col("rank"), h["n"] - h["rank"])  # noqa: E731  shingles that two texts can share
         may = lambda h: (h["comp"] != F.col("comp")) & (most(h) * (100 + percent) >= percent * (F.col("n") + h["n"]))
         if turn < PAIR_TURNS:
             met = members.select("id", "comp", F.explode(F.filter("heads", may)).alias("c"))
             pairs = met.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"), F.col("comp").alias("ca"), F.col("c.comp").alias("cb"))
-            pairs = durable(pairs.dropDuplicates(["a", "b"]), "pairs")
-            links = None if pairs.isEmpty() else durable(_confirm(pairs, src, shingle, percent), "links")
+            pairs = keep(pairs.dropDuplicates(["a", "b"]), "pairs")
+            links = None if pairs.isEmpty() else keep(_confirm(keep, pairs, src, shingle, percent), "links")
         else:
-            links = durable(_inline(members, heads, sets, may, percent).dropDuplicates(["a", "b"]), "links")
+            links = keep(_inline(keep, members, heads, sets, may, percent).dropDuplicates(["a", "b"]), "links")
         members = members.where(~F.array_contains(F.transform("heads", lambda h: h["id"]), F.col("id"))).drop("heads")
         if links is not None and not links.isEmpty():
-            comp = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            comp = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), keep)
             to = comp.toDF("_n", "_to")
             members = members.join(to, F.col("comp") == F.col("_n"), "left").withColumn("comp", F.coalesce("_to", "comp")).drop("_n", "_to")
             if found is None:
                 found = comp
             else:
                 moved = found.join(to, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_to", "component").alias("component"))
-                found = durable(moved.union(comp.join(found.select(F.col("node").alias("_k")), F.col("node") == F.col("_k"), "left_anti")), "found")
+                found = keep(moved.union(comp.join(found.select(F.col("node").alias("_k")), F.col("node") == F.col("_k"), "left_anti")), "found")
         if not turn:
-            members, sets = _prefixes(members, src, shingle, percent)
+            members, sets = _prefixes(keep, members, src, shingle, percent)
         turn += 1
-        if VERBOSE:
-            print("round", turn, "heads", heads.count(), "pairs", pairs.count() if turn <= PAIR_TURNS else 0, "links", links.count() if links else 0, "members left", members.count(), flush=True)
     groups = classes.select("class", "rep", "size").withColumn("component_id", F.col("rep"))
     if found is not None:
         groups = groups.drop("component_id").join(found, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep"))
     groups = durable(groups.where("size > 1 or component_id <> rep").select("class", "component_id", "size"), "groups")
+    keep.clear()
     out = signed.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.struct(*same)).alias("class"))
     out = with_group(out, groups, "class", "size", total)
     own = F.coalesce("component_id", "doc_id")
