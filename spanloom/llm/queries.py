@@ -97,11 +97,11 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
-    from .bpe import decode_ids, encode_texts, load_ranks
+    from .bpe import encode_texts, load_ranks
 
     vocabulary = load_ranks(public_tokenizers.path(name))
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode_ids(encode_texts(docs, vocabulary, public_tokenizers.PATTERN), vocabulary, public_tokenizers.PATTERN)
+    coded = encode_texts(docs, vocabulary, public_tokenizers.PATTERN, decoded_col="decoded")
     n = (F.octet_length("ids") / 4).cast("long")
     return coded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -133,6 +133,22 @@ QUERIES = {
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words
+        ),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+        edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y, root FROM reach JOIN edges ON x = doc_id)
+        SELECT doc_id, coalesce(max(n), 0) AS n_shingles, min(root) AS component_id, min(root) = doc_id AS kept
+        FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
     "op7_url_filter": f"""
         WITH rules(verdict, rule_host, rule_path) AS (VALUES {_RULE_ROWS}),
         parts AS (
