@@ -1,0 +1,18 @@
+"""A Spark session with the settings that these operators expect; any of them can be overridden."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+}
+
+
+def session(app: str = "spanloom", **more: str) -> SparkSession:
+    """``more`` takes settings with underscores for dots, as in ``spark_sql_shuffle_partitions="2000"``."""
+    own = SETTINGS | {k.replace("_", "."): str(v) for k, v in more.items()}
+    return SparkSession.builder.appName(app).config(map=own).getOrCreate()
