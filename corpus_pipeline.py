@@ -18,6 +18,8 @@ from spanloom.llm.language import UNKNOWN, identify, train, trusted
 from spanloom.llm.minhash import near_duplicates
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
+#: Pre-tokens that a worker remembers: fewer than by default, as the stages before leave executors less memory.
+REMEMBERED = 300_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     vocabulary, pattern = load_ranks(public_tokenizers.path(TOKENIZER)), public_tokenizers.PATTERN
     src = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha"))
-    coded = encode_texts(src, vocabulary, pattern, decoded_col="decoded", packed=False)
+    coded = encode_texts(src, vocabulary, pattern, decoded_col="decoded", packed=False, remembered=REMEMBERED)
     same = (F.sha2("decoded", 256) == F.col("_sha")).alias("round_trip")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same)
 

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_arrow
 
-#: Distinct pre-tokens whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: Distinct pre-tokens whose ids a Python worker remembers, about 200 bytes each; beyond it the memory starts anew.
+REMEMBERED = 1_000_000
 REMEMBERED_CHARS = 32
 BLOCK_BYTES = 1 << 20
 
@@ -37,14 +37,14 @@ def load_ranks(path: str) -> bytes:
 class Memory(dict):
     """Pre-token to packed ids; fills itself."""
 
-    def __init__(self, bpe: "ByteBPE"):
-        self.bpe = bpe
+    def __init__(self, bpe: "ByteBPE", most: int):
+        self.bpe, self.most = bpe, most
 
     def __missing__(self, word: str) -> bytes:
         ids = self.bpe.merge(word.encode("utf-8"))
         ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = ids
         return ids
@@ -53,7 +53,7 @@ class Memory(dict):
 class ByteBPE:
     """Ranks are ids. ``pairs`` maps two ids, as ``left << 20 | right``, to the id of their join."""
 
-    def __init__(self, vocabulary: bytes, pattern: str):
+    def __init__(self, vocabulary: bytes, pattern: str, remembered: int = REMEMBERED):
         lines = (line.split() for line in vocabulary.splitlines() if line.strip())
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.tokens: dict[int, bytes] = {rank: token for token, rank in self.ranks.items()}
@@ -68,7 +68,7 @@ class ByteBPE:
         self.buckets: list[list[int] | None] = [None] * n
         self.low, self.mid = [0] * ((n >> 6) + 1), [0] * ((n >> 12) + 1)
         self.pattern = regex.compile(pattern)
-        self.memory = Memory(self)
+        self.memory = Memory(self, remembered)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token.
@@ -168,15 +168,15 @@ class ByteBPE:
         return b"".join(b"".join(map(look, np.frombuffer(ids[i : i + step], "<u4").tolist())) for i in range(0, len(ids), step))
 
 
-_made: dict[tuple[int, str], ByteBPE] = {}
+_made: dict[tuple[int, str, int], ByteBPE] = {}
 
 
-def _codec(vocabulary: bytes, pattern: str) -> ByteBPE:
+def _codec(vocabulary: bytes, pattern: str, remembered: int = REMEMBERED) -> ByteBPE:
     """One for each Python worker and vocabulary."""
-    key = (hash(vocabulary), pattern)
+    key = (hash(vocabulary), pattern, remembered)
     if key not in _made:
         _made.clear()
-        _made[key] = ByteBPE(vocabulary, pattern)
+        _made[key] = ByteBPE(vocabulary, pattern, remembered)
     return _made[key]
 
 
@@ -206,18 +206,18 @@ def _schema(docs: DataFrame, without: str | None, **more: str) -> str:
     return ", ".join([*rest, *(f"`{name}` {kind}" for name, kind in more.items())])
 
 
-def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, packed: bool = True) -> DataFrame:
+def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, packed: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """``docs`` with the text replaced by its ids: packed as little-endian unsigned 32-bit integers, or an array.
 
     With ``decoded_col`` the ids are decoded again in the same pass, and the bytes returned beside them.
     The vocabulary (about a megabyte) is broadcast, so executors need no file. Other columns pass as they are; the new
-    names must not be among them.
+    names must not be among them. ``remembered`` trades a worker's memory for time.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     more = {ids_col: "binary" if packed else "array<int>"} | ({decoded_col: "binary"} if decoded_col else {})
 
     def run(batches):
-        bpe = _codec(shared.value, pattern)
+        bpe = _codec(shared.value, pattern, remembered)
         for whole in batches:
             for at, n in _blocks(whole, text_col):
                 batch = whole.slice(at, n)
