@@ -42,7 +42,7 @@ def parents(windows: DataFrame, axis: str = "chrom") -> DataFrame:
     own = windows.select("region_id", axis, "start", "end", "scale_level").join(step, F.col("_level") > F.col("scale_level"))
     own = own.withColumn("_cell", F.expr("start div _step")).withColumnRenamed("_level", "_want").drop("_step")
     same = (F.col(axis) == F.col("_axis")) & (F.col("_want") == F.col("_level")) & own["_cell"].eqNullSafe(larger["_cell"])
-    hit = own.join(larger, same & (F.col("_start") <= F.col("start")) & (F.col("_end") >= F.col("end")))
+    hit = own.join(larger.hint("merge"), same & (F.col("_start") <= F.col("start")) & (F.col("_end") >= F.col("end")))
     best = hit.groupBy(F.col("region_id").alias("_rid")).agg(F.max_by("_id", F.struct(-F.col("_level"), "_start")).alias("parent_id"))
     return windows.join(best, F.col("region_id") == F.col("_rid"), "left").drop("_rid")
 

@@ -182,7 +182,7 @@ def window_parents(spark, sf_dir):
 SELECT region_id, round(({_b('G')} + {_b('C')}) / nullif(length(q), 0), 6) AS gc FROM x""")
 def window_gc(spark, sf_dir):
     axes, tiles = _windows(spark, sf_dir)
-    x = tiles.where("window_size = 1000").join(axes.select("chrom", "q"), "chrom")
+    x = tiles.where("window_size = 1000").join(axes.select("chrom", "q").hint("merge"), "chrom")
     return x.select("region_id", _r(seq.gc_content(seq.extract(F.col("q"), F.col("start"), F.col("end")))).alias("gc"))
 
 
