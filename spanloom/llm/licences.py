@@ -6,10 +6,11 @@ words left out; its temperature is set on variants that it has not seen, so that
 from unknown. A prediction stands only if a template of its family confirms it: at least ``CONFIRM`` of the template's
 two-grams are in the paragraph, or of the paragraph's in the template. Else the family is ``unknown``.
 
-Only lines with a word that licences use (``ANCHORS``) are scored; in others every feature that speaks for a family is
-absent. Scoring is a projection without shuffle, so hot sources and repeated lines cost no more than others. Null and
-empty texts have no paragraphs. Lines of any length are read whole. Repeated rows are reported for each; other columns
-pass by name where asked for.
+Every line that holds a feature with a positive weight for a family is scored and has a row, be it ``unknown``. A line
+without one has no row and is ``unknown`` by the model: the weights of a feature sum to zero, so none of its features
+speaks against ``unknown``, whose bias is the largest. Scoring is a projection without shuffle, so hot sources and
+repeated lines cost no more than others. Null and empty texts have no paragraphs. Lines of any length are read whole.
+Repeated rows are reported for each; other columns pass by name where asked for.
 """
 
 from __future__ import annotations
@@ -94,7 +95,6 @@ OTHERS = (
     "free admission without charge to any person under twelve",
     "students at mit study physics and the apache tribe lives in the south",
 )
-ANCHORS = r"(?i)licen[cs]|copyright|all rights reserved|permission is hereby|redistribut|general public|public domain|creative commons|proprietary|spdx|\bcc[ -]?by|\bcc0"
 
 
 def _grams(words: list[str]) -> set[str]:
@@ -155,21 +155,30 @@ def _adder(column: Column):
     return lambda total, i: total + F.element_at(column, i)
 
 
+def speaking() -> list[int]:
+    """Positions, from 1, of the features with a positive weight for a family."""
+    names, _, weights, _ = model()
+    return [i + 1 for i, row in enumerate(weights.round(6)) if (row[: len(names) - 1] > 0).any()]
+
+
 def paragraphs(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The lines that may hold a notice: the columns ``keep``, paragraph (0 for the first line), content."""
+    """The lines that hold a word: the columns ``keep``, paragraph (0 for the first line), content."""
     lines = F.split(F.col(text_col).cast("string"), "\n")
-    return docs.where(F.col(text_col).cast("string").rlike(ANCHORS)).select(*keep, F.posexplode(lines).alias("paragraph", "content")).where(F.col("content").rlike(ANCHORS))
+    return docs.select(*keep, F.posexplode(lines).alias("paragraph", "content")).where(F.col("content").rlike("(?i)[a-z0-9+]"))
 
 
 def scan_licences(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row a paragraph with a licence word: the columns ``keep``, paragraph, content, family, probability, overlap."""
+    """One row a paragraph that holds a feature of a family: the columns ``keep``, paragraph, content, family, probability, overlap."""
     names, features, weights, bias = model()
     found = paragraphs(docs, text_col, keep)
     words = F.regexp_extract_all(F.lower("content"), F.lit(r"([a-z0-9.+-]*[a-z0-9+])"), F.lit(1))
-    two = F.expr("transform(sequence(1, greatest(size(words) - 1, 1)), i -> concat_ws(' ', words[i - 1], words[i]))")
-    rows = found.withColumn("words", words).where(F.size("words") > 0).withColumn("two", F.array_distinct(two))
-    at = F.filter(F.transform(F.array_distinct(F.concat("words", "two")), lambda g: F.array_position(_array(features), g).cast("int")), lambda i: i > 0)
-    rows = rows.withColumn("at", at)
+    # Exploding arrays of one element keeps the optimizer from pasting the words into each of their uses.
+    rows = found.select("*", F.explode(F.array(words)).alias("words")).where(F.size("words") > 0)
+    two = F.expr("if(size(words) > 1, transform(sequence(1, size(words) - 1), i -> concat_ws(' ', get(words, i - 1), get(words, i))), cast(array() as array<string>))")
+    rows = rows.select("*", F.explode(F.array(two)).alias("two"))
+    grams = F.array_distinct(F.filter(F.concat("words", "two"), lambda g: g.isin(features)))
+    at = F.transform(grams, lambda g: F.array_position(_array(features), g).cast("int"))
+    rows = rows.select("*", F.explode(F.array(at)).alias("at")).where(F.exists("at", lambda i: i.isin(speaking())))
     for k, name in enumerate(names):
         column = _array([float(round(v, 6)) for v in weights[:, k]])
         rows = rows.withColumn(f"z{k}", F.aggregate("at", F.lit(float(bias[k])), _adder(column)))
@@ -178,6 +187,7 @@ def scan_licences(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     rows = rows.withColumn("best", F.array_position("z", F.col("top")).cast("int"))
     rows = rows.withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top"))))
     share = lambda part, whole: F.size(F.array_intersect(part, whole)) / F.greatest(F.size(part), F.lit(1))
+    rows = rows.withColumn("two", F.when(F.col("best") < len(names), F.array_distinct("two")))
     overlap = F.lit(0.0)
     for k, name in enumerate(names[:-1]):
         each = []

@@ -1,9 +1,10 @@
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import language, toxicity
+from spanloom.llm import language, licences, toxicity
 from spanloom.llm.licences import scan_licences
 from spanloom.llm.queries import op4_language, op6_toxicity
 
@@ -93,3 +94,29 @@ def test_licences(spark):
     got = scan_licences(df).collect()
     assert sorted((str(r["doc_id"]), r["paragraph"], r["family"]) for r in got) == sorted([("0", 1, "apache"), ("1", 0, "mit"), ("1", 0, "mit"), ("None", 0, "mit"), ("2", 0, "unknown"), ("5", 0, "mit"), ("6", 0, "gpl")])
     assert scan_licences(df.limit(0)).count() == 0
+
+
+def plain_family(line):
+    """The family by the model alone, without any filter of lines."""
+    names, features, w, b = licences.model()
+    words = licences._words(line)
+    two = {f"{x} {y}" for x, y in zip(words, words[1:])}
+    z = b + sum((w[features.index(g)] for g in two | set(words) if g in features), np.zeros(len(names)))
+    k = int(z.argmax())
+    if k == len(names) - 1 or 1 / np.exp(z - z.max()).sum() < 0.5:
+        return "unknown"
+    best = 0.0
+    for own in map(licences._words, licences.TEMPLATES[names[k]]):
+        t = {f"{x} {y}" for x, y in zip(own, own[1:])}
+        best = max(best, len(t & two) / len(t), len(t & two) / max(1, len(two)) if len(words) >= 3 else 0)
+    return names[k] if best >= licences.CONFIRM else "unknown"
+
+
+def test_licences_without_licence_words(spark):
+    lines = ["Unauthorized copying of this file, via any medium, is strictly prohibited.", "use of this source code is governed by a bsd-style notice", "under the terms of the Mozilla Public", "Distributed under the terms of the GNU GPL v3.", "you may obtain a copy", "Copyright", "MIT", "zebra", "qq zz ww", "", " \t", "...", "the cat sat on the mat", "ß é 漢字"]
+    lines += [" ".join(t.split()[a : a + n]) for ts in licences.TEMPLATES.values() for t in ts for n in (1, 4, 9) for a in range(0, len(t.split()), 3)]
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    got = {r["paragraph"]: r["family"] for r in scan_licences(df).collect()}
+    want = [plain_family(x) for x in lines]
+    assert want[0] == "proprietary" and [got.get(i, "unknown") for i in range(len(lines))] == want
+    assert {3, 4, 5, 6, 12} <= set(got) and not {7, 8, 9, 10, 11, 13} & set(got)
