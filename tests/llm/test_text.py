@@ -122,6 +122,24 @@ def test_masks_hit_every_stretch_they_promise():
         assert all(any(not p & set(x) for p in places(n)) for x in itertools.combinations(range(n), wrong))
 
 
+def test_masks_hit_every_stretch_of_the_rule(spark):
+    import itertools
+
+    import numpy as np
+
+    for n in range(D.LEAST, 2 * D.LEAST):  # a longer stretch has a half that the rule admits
+        wrong = np.array([sum(1 << i for i in x) for x in itertools.combinations(range(n), n * (100 - D.PERCENT) // 100)])
+        for m in D.MASKS:
+            for i in range(n - len(m) + 1):
+                wrong = wrong[wrong & (sum(1 << o for o, c in enumerate(m) if c == "1") << i) != 0]
+        assert not len(wrong)
+    item = [f"w{i}" for i in range(15)]
+    leak = [w if i not in (2, 5, 7) else "zz" for i, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, "so " + " ".join(leak) + " ends"), (2, " ".join(["zz", *leak[1:]]))], "doc_id long, text string")
+    it = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert [(r["doc_id"], r["same_words"]) for r in D.overlaps(docs, it).collect()] == [(1, 12)]
+
+
 def test_url_rules_equal_brute_force(spark):
     rng = random.Random(5)
     rules = [(rng.choice(["block", "allow"]), h, p) for h in ("com", "a.com", "b.a.com", "org") for p in rng.sample(["/", "/en/", "/en", "/en/7", "/e", "/en/7/x"], 3)]
