@@ -9,8 +9,9 @@ one substitution (checked in the tests); a longer stretch of 80 % has a half of
 
 Test items are broadcast in blocks of bounded size, one scan of the texts for each block. Null and empty texts and items
 overlap with nothing; a text whose row repeats is reported once or more, a null id as null, and ``decontaminate`` keeps
-rows with a null id, which nothing can name. Items with fewer words than ``SHORTEST`` are matched only as exact whole runs of words if they
-have at least that many, else not at all: they would fit clean texts. Repeated items are reported for each.
+rows with a null id, which nothing can name. Items with fewer words than ``LEAST`` are matched only as exact whole runs
+of words; those with fewer than ``SHORTEST``, which no mask fits, by a hash of the whole item. So an item of one word
+matches every text that holds the word. An item without a word matches nothing. Repeated items are reported for each.
 """
 
 from __future__ import annotations
@@ -47,13 +48,14 @@ class Index:
     """Seed hashes of a block of items."""
 
     def __init__(self, ids: list[int], texts: list[str], masks=MASKS):
-        self.ids, self.masks, self.words, rows = ids, masks, [], []
+        self.ids, self.words, rows = ids, [], []
         for _, n, data, offsets in K.chunks(pa.array(texts, pa.string())):
             h, _, per = K.words(data, offsets, K.ALNUM)
             self.words += [h[per[i] : per[i + 1]] for i in range(n)]
+        self.masks = [*masks, *("1" * n for n in sorted({len(w) for w in self.words}) if 0 < n < SHORTEST)]
         for i, w in enumerate(self.words):
-            if len(w) >= SHORTEST:
-                for m, mask in enumerate(masks):
+            for m, mask in enumerate(self.masks):
+                if len(w) == len(mask) if m >= len(masks) else len(w) >= SHORTEST:
                     s = _seed_hashes(w, mask, m)
                     rows.append(np.stack([s, np.full(len(s), i, np.uint64), np.arange(len(s), dtype=np.uint64)]))
         table = np.concatenate(rows, axis=1) if rows else np.zeros((3, 0), np.uint64)

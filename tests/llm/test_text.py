@@ -106,6 +106,15 @@ def test_short_items_need_the_whole_run(spark):
     assert [r["doc_id"] for r in D.overlaps(df, it).collect()] == [1]
 
 
+def test_items_of_a_few_words_are_found_whole(spark):
+    items = [(1, "Solo!"), (2, "zip zap"), (3, "one two three four five six seven"), (4, "..."), (5, "zip zap"), (6, None)]
+    texts = ["a solo b SOLO", "zip, Zap", "zip", "zap zip", "one two three four five six seven", "one two three four five six zap", "so one two three four five six", "seven", "zip x zap", "soloist", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    it = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["doc_from"], r["doc_to"]) for r in D.overlaps(df, it).collect())
+    assert got == [(0, 1, 1, 2), (0, 1, 3, 4), (1, 2, 0, 2), (1, 5, 0, 2), (4, 3, 0, 7)]
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
