@@ -23,12 +23,14 @@ REMEMBERED = 300_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the classifier rejects."""
+    """Drops texts that are null or hold no letter, which the classifier rejects; its choice among languages drops nothing."""
     model = train(docs.where(trusted(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    own_id, own_sha = fresh(docs.columns, "_id"), fresh(docs.columns, "_sha")
+    own_id, own_sha, letter = fresh(docs.columns, "_id"), fresh(docs.columns, "_sha"), fresh(docs.columns, "_letter")
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    found = identify(docs.select(F.col("doc_id").alias(own_id), sha.alias(own_sha), "text"), model, keep=(own_id, own_sha))
-    gone = durable(found.where(F.col("lang_pred") == UNKNOWN).select(own_id, own_sha).distinct(), "rejected")
+    has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    found = identify(docs.select(F.col("doc_id").alias(own_id), sha.alias(own_sha), has.alias(letter), "text"), model, keep=(own_id, own_sha, letter))
+    # Texts with letters are ``und`` too where no model could be fitted, or where that is a label.
+    gone = durable(found.where((F.col("lang_pred") == UNKNOWN) & ~F.col(letter)).select(own_id, own_sha).distinct(), "rejected")
     return docs.join(bounded(gone), F.col("doc_id").eqNullSafe(F.col(own_id)) & (sha == F.col(own_sha)), "left_anti")
 
 

@@ -68,6 +68,13 @@ def test_stage_edge_cases(spark, tmp_path, k):
     assert stage(spark, docs.limit(0), str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("label", [None, "und"])
+def test_language_stage_keeps_texts_without_a_model(spark, label):
+    rows = [(1, "the cat sat on the mat", label), (2, None, label), (3, "", label), (4, "12 !", label), (None, "le chat dort", label), (5, "x", label), (5, "漢字", label)]
+    out = C.language(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    assert sorted(r["text"] for r in out) == sorted(r[1] for r in rows if r[0] not in (2, 3, 4))
+
+
 def test_token_stage_edge_cases(spark):
     docs = spark.createDataFrame([(1, "a b", 1), (None, None, 2), (3, "", 3)], "doc_id long, text string, ids int")
     got = {r["doc_id"]: r for r in C.tokens(spark, docs, "").collect()}
