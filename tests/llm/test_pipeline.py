@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +48,27 @@ def test_pipeline_equals_brute_force(spark):
             assert list(got[i]["ids"]) == want.encode_ordinary(t) and got[i]["n_tokens"] == len(got[i]["ids"]) and got[i]["round_trip"]
 
 
+def test_pipeline_keeps_exactly_what_brute_force_keeps(spark, tmp_path):
+    rng, words = random.Random(8), [f"t{i}" for i in range(400)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, some(18)) for i in range(6)]
+    texts = [some(n) for n in (1, 3, 12, 30, 60, 90, 350) for _ in range(3)]
+    for i, q in items:
+        wrong = lambda part, at: ["zz" if k in at else w for k, w in enumerate(part)]
+        leaks = [q, q[i : i + 12], q[:13], wrong(q[:15], (2, 5, 7)), wrong(q[:15], (1, 5, 7, 11)), wrong(q, rng.sample(range(18), 3))]
+        texts += [some(rng.choice((4, 40))) + part + some(rng.choice((4, 40))) for part in leaks]
+        texts += [some(330) + wrong(q[3:], (2, 5, 7)) + some(40), some(330) + q[:12] + some(40)]
+    texts += [wrong(t, (40,)) for t in texts if len(t) > 80] + rng.sample(texts, 6)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "12 !")]
+    spark.createDataFrame([(*r, "en", "s", len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(i, " ".join(q)) for i, q in items]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left, _ = plain_pipeline(rows, [])
+    leaks = {d for d, _ in plain_overlaps(left, items)}
+    assert 10 < len(leaks) < len(left) - 10 and len(left) < len(rows) - 10
+    assert sorted(r["doc_id"] for r in C.run(spark, str(tmp_path)).select("doc_id").collect()) == sorted({i for i, _ in left} - leaks)
+
+
 @pytest.mark.parametrize("k", range(4))
 def test_stage_edge_cases(spark, tmp_path, k):
     item = " ".join(f"bench{i}" for i in range(20))
