@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 
 #: A key list of at most this many rows (about 16 bytes each) is broadcast; above it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: A Python worker handles at most this many rows and bytes of an Arrow batch at a time (a longer row by itself).
 BATCH_ROWS = 500
+BATCH_BYTES = 4 << 20
 #: A key with more than 1/HOT_SHARE of all rows is hot; by counting there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set to a local one only where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where unset, a local one, on a local master only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -34,15 +38,26 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pieces(batch):
+    """Slices of an Arrow batch with at most BATCH_ROWS rows, and BATCH_BYTES bytes where they have several rows."""
+    if batch.num_rows > BATCH_ROWS:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield from pieces(batch.slice(at, BATCH_ROWS))
+    elif batch.num_rows > 1 and batch.nbytes > BATCH_BYTES:
+        half = batch.num_rows // 2
+        yield from pieces(batch.slice(0, half))
+        yield from pieces(batch.slice(half))
+    else:
+        yield batch
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of BATCH_ROWS rows, where the session has Spark's own default.
+    """``mapInArrow`` over small pieces of Spark's batches, as texts are long and a worker holds several copies of a piece."""
 
-    Texts are long and a worker holds several copies of a batch, so 10,000 rows would take hundreds of megabytes.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+    def cut(batches):
+        return run(piece for batch in batches for piece in pieces(batch))
+
+    return df.mapInArrow(cut, schema)
 
 
 class Scratch:
@@ -70,21 +85,46 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def _spread(rows: DataFrame, key: str, hot: DataFrame, hot_key: str, table: DataFrame, table_key: str) -> DataFrame:
+    """Left join of ``rows`` to ``hot`` by broadcast, and of its other rows to ``table`` by a shuffle.
+
+    Rows with a hot or null key are dealt over the shuffle by their own number, under which the table has nothing.
+    """
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col(hot_key), "left")
+    own = F.when(F.col(hot_key).isNotNull() | F.col(key).isNull(), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(9973))).otherwise(0)
+    table = table.withColumn("_cold", F.lit(0).cast("long"))
+    return out.withColumn("_deal", own.cast("long")).join(table, (F.col(key) == F.col(table_key)) & (F.col("_deal") == F.col("_cold")), "left")
+
+
 def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Left join of ``rows`` to ``groups`` (one row a key) that a hot key does not skew.
+    """Left join of ``rows`` to ``groups`` (one row a key) that neither a hot nor a null key skews.
 
-    Keys with over ``total / HOT_SHARE`` rows, fewer than HOT_SHARE by counting, are looked up by broadcast;
-    the others go through a shuffle, in which no key has more rows than that.
+    Keys with over ``total / HOT_SHARE`` rows, fewer than HOT_SHARE by counting, are looked up by broadcast; the others
+    go through a shuffle, in which no key has more rows than that. Rows whose key is hot or null are spread over it.
     """
     limit = max(1, total // HOT_SHARE)
     cols = [c for c in groups.columns if c != key]
     hot = groups.where(F.col(size) > limit).select(F.col(key).alias("_hk"), F.struct(*cols).alias("_hv"))
     cold = groups.where(F.col(size) <= limit).select(F.col(key).alias("_ck"), F.struct(*cols).alias("_cv"))
-    out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    lookup = F.when(F.col("_hk").isNull(), F.col(key))
-    out = out.withColumn("_lk", lookup).join(cold, F.col("_lk") == F.col("_ck"), "left")
     got = F.coalesce(F.col("_hv"), F.col("_cv"))
-    return out.select(*rows.columns, *[got[c].alias(c) for c in cols])
+    return _spread(rows, key, hot, "_hk", cold, "_ck").select(*rows.columns, *[got[c].alias(c) for c in cols])
+
+
+def lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, value: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: the value of the table's row (one a key) with the same key, or the key itself without one.
+
+    A table of bounded size is broadcast; else hot keys of ``rows`` are counted and only their values broadcast.
+    """
+    table = table.select(F.col(table_key).alias("_lk"), F.col(value).alias("_lv"))
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        got = rows.join(F.broadcast(table), F.col(key) == F.col("_lk"), "left").withColumn("_v", F.col("_lv"))
+    else:
+        limit = max(1, rows.count() // HOT_SHARE)
+        many = rows.groupBy(F.col(key).alias("_hk")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("_hk")
+        hot = table.join(F.broadcast(many), F.col("_lk") == F.col("_hk")).select("_hk", F.col("_lv").alias("_hv"))
+        got = _spread(rows, key, hot, "_hk", table, "_lk").withColumn("_v", F.coalesce("_hv", "_lv"))
+    names = [c for c in rows.columns if c != out]
+    return got.select(*names, F.coalesce("_v", key).alias(out))
 
 
 def fresh(columns: list[str], name: str) -> str:
