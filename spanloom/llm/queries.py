@@ -70,7 +70,6 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/"),
     ("allow", "net", "/de/"),
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
@@ -130,8 +129,6 @@ QUERIES = {
     )
 }
 
-_RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
-
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": r"""
         WITH RECURSIVE words AS (
@@ -149,8 +146,9 @@ ORACLE_SQL: dict[str, str] = {
         reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y, root FROM reach JOIN edges ON x = doc_id)
         SELECT doc_id, coalesce(max(n), 0) AS n_shingles, min(root) AS component_id, min(root) = doc_id AS kept
         FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
-    "op7_url_filter": f"""
-        WITH rules(verdict, rule_host, rule_path) AS (VALUES {_RULE_ROWS}),
+    "op7_url_filter": """
+        WITH rules(verdict, rule_host, rule_path) AS (VALUES
+            ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
         parts AS (
             SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
         ),

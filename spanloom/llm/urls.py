@@ -7,7 +7,10 @@ longest (characters of host and path) wins, then the longer host, then block bef
 ``default``. Rules that repeat count once; conflicting ones follow the order above.
 
 The rules are broadcast as one object; more than ``MOST_RULES`` are refused, so its size has a bound.
-Null URLs and URLs without ``://`` have an empty host and path, which no rule with a host fits.
+Null URLs and URLs without ``://`` have an empty host and path, which no rule with a host fits. URLs of any length are
+read whole, in one pass over their segments. Each row is judged by itself, so repeated pages are reported as often; an
+empty table gives an empty result. Other columns pass by name where asked for (``keep``), also those named like a result
+of this module's own, as long as no two of the output share a name.
 """
 
 from __future__ import annotations

@@ -123,6 +123,30 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert want and sorted(map(str, D.overlaps(docs, items).collect())) == want
 
 
+def test_decontaminate_tells_rows_by_id_and_text(spark):
+    leak = " ".join(f"bench{i}" for i in range(15))
+    rows = [(1, f"so {leak} ends", "k"), (1, "a clean text", "k"), (None, leak, "k"), (None, "another clean one", "k"), (None, None, "k"), (2, "", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _sha string")
+    got = D.decontaminate(df, spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    assert got.columns == df.columns and sorted(str(r["text"]) for r in got.collect()) == ["", "None", "a clean text", "another clean one"]
+
+
+def test_hot_seeds_and_very_long_texts_both_ways(spark, monkeypatch):
+    rng, words = random.Random(2), [f"t{i}" for i in range(300)]
+    stem = [rng.choice(words) for _ in range(9)]
+    items = [(i, " ".join(stem + [rng.choice(words) for _ in range(8)])) for i in range(150)]
+    long = [rng.choice(words) for _ in range(40_000)]
+    long[20_000:20_017] = items[77][1].split()
+    docs = [(0, " ".join(long)), (1, " ".join(stem * 30)), (2, "x " + items[5][1]), (3, items[6][1].replace(" ", ",  ") + " y"), (None, items[7][1]), (2, "x " + items[5][1]), (4, None), (5, "")]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(D, "SPREAD", 100)
+    want = sorted({str(r) for r in D.overlaps(df, it).collect()})
+    assert {(r["doc_id"], r["item_id"]) for r in D.overlaps(df, it).collect()} >= {(0, 77), (2, 5), (3, 6), (None, 7)}
+    monkeypatch.setattr(D, "BLOCK_BYTES", 10)
+    assert sorted({str(r) for r in D.overlaps(df, it).collect()}) == want
+    assert D.overlaps(df.limit(0), it).count() == 0 and D.contaminated(df, it.limit(0)).count() == 0
+
+
 def test_masks_hit_every_stretch_they_promise():
     import itertools
 
@@ -171,4 +195,6 @@ def test_url_rules_equal_brute_force(spark):
         fits = [(len(a + b), len(a), v == "block", v, a + b) for v, a, b in rules if (h == a or h.endswith("." + a)) and p.startswith(b)]
         best = max(fits, default=None)
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (h, p, best and best[4], best[3] if best else "allow")
+    long = spark.createDataFrame([(1, "http://A.com/en/" + "7/" * 50_000)], "page_id long, url string")
+    assert judge(long, [("block", "a.com", "/en/" + "7/" * 49_999)]).first()["verdict"] == "block"
     assert judge(df.limit(0), rules).count() == 0 and judge(df, []).where("verdict <> 'allow'").count() == 0
