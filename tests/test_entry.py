@@ -4,6 +4,7 @@ import subprocess
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -23,7 +24,8 @@ def duck():
 
 def plain(df):
     df = df[sorted(df.columns)]
-    return sorted(repr(tuple(None if v is None or v != v else float(v) if isinstance(v, float) else v.item() if hasattr(v, "item") else v for v in r)) for r in df.astype(object).itertuples(index=False))
+    value = lambda v: None if v is None or pd.isna(v) else float(v) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
+    return sorted(repr(tuple(value(v) for v in r)) for r in df.astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
