@@ -15,8 +15,6 @@ of this module's own, as long as no two of the output share a name.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,46 +24,44 @@ from .common import map_arrow
 MOST_RULES = 1_000_000
 
 
-@dataclass
-class _Path:
-    below: dict[str, "_Path"] = field(default_factory=dict)
-    ends: list[tuple[str, tuple]] = field(default_factory=list)
-
-
-@dataclass
-class _Host:
-    below: dict[str, "_Host"] = field(default_factory=dict)
-    paths: _Path | None = None
-
-
 class Trie:
+    """Nodes are numbers; an edge leads from a node by a host label or a path segment to another. Flat, so any depth is sent whole."""
+
     def __init__(self, rules: list[tuple[str, str, str]], default: str = "allow"):
         if len(rules) > MOST_RULES:
             raise ValueError(f"more than {MOST_RULES} rules")
-        self.default, self.root = default, _Host()
+        self.default, self.nodes = default, 1
+        self.labels: dict[tuple[int, str], int] = {}
+        self.paths: dict[int, int] = {}
+        self.segments: dict[tuple[int, str], int] = {}
+        self.ends: dict[int, list[tuple[str, tuple]]] = {}
         for verdict, host, path in rules:
-            node = self.root
+            node = 0
             for label in reversed(host.lower().split(".")):
-                node = node.below.setdefault(label, _Host())
-            node.paths = node.paths or _Path()
-            at, (*segments, tail) = node.paths, path.split("/")
+                node = self._below(self.labels, (node, label))
+            at, (*segments, tail) = self._below(self.paths, node), path.split("/")
             for s in segments:
-                at = at.below.setdefault(s, _Path())
-            at.ends.append((tail, (len(host) + len(path), len(host), verdict == "block", verdict, host + path)))
+                at = self._below(self.segments, (at, s))
+            self.ends.setdefault(at, []).append((tail, (len(host) + len(path), len(host), verdict == "block", verdict, host + path)))
+
+    def _below(self, edges: dict, key) -> int:
+        if key not in edges:
+            edges[key], self.nodes = self.nodes, self.nodes + 1
+        return edges[key]
 
     def match(self, host: str, path: str) -> tuple[str | None, str]:
         """(rule, verdict) of the rule that wins; (None, default) if none fits."""
-        best, node, segments = None, self.root, path.split("/")
+        best, node, segments = None, 0, path.split("/")
         for label in reversed(host.split(".")):
-            node = node.below.get(label)
+            node = self.labels.get((node, label))
             if node is None:
                 break
-            at = node.paths
-            for s in segments if at else ():
-                for tail, rule in at.ends:
+            at = self.paths.get(node)
+            for s in segments if at is not None else ():
+                for tail, rule in self.ends.get(at, ()):
                     if s.startswith(tail) and (best is None or rule > best):
                         best = rule
-                at = at.below.get(s)
+                at = self.segments.get((at, s))
                 if at is None:
                     break
         return (best[4], best[3]) if best else (None, self.default)
