@@ -1,16 +1,22 @@
 """Personal data by bootstrapped contextual extraction.
 
-1. One scan finds the base entities of four kinds by their formats, with the two words before each, and every other
-   token that looks like an identifier (five characters or more, with a digit or an at sign), with its two words.
-2. Base entities are seeds. A pattern is a kind and a left context; an instance is a token's text. Spark scores the
-   graph of patterns and instances by turns: a pattern is as reliable as the instances it holds, weighed by count and
-   smoothed by ``PRIOR`` unreliable ones; an instance is as reliable as its best pattern; seeds have reliability 1.
-3. Patterns with at least ``SUPPORT`` distinct seeds and reliability of ``CONFIDENT`` or more mark the other tokens in
-   their context as new entities, if a token's shape is one that the kind could have.
-
-Spans are code points, end exclusive. Base matches are leftmost and do not overlap within a kind; a match that fails
-its check is dropped. Added spans never overlap base ones and never remove one. A null text counts as empty. Each input
-row gives a row, also where ids are null or repeat.
+1. One scan finds the base entities of four kinds by their formats, and every other candidate: a token that looks like
+   an identifier (five characters or more, with a digit or an at sign), or a run of digit groups that together have the
+   shape of a kind. Each has four lexical patterns: the two words before, the one before, the one before with the one
+   after, and the two after.
+2. Base entities are seeds. Spark scores the graph of patterns and instances (texts of candidates) by turns: a pattern is
+   as reliable as the share of its occurrences that are trusted, smoothed by ``PRIOR`` that are not; it is good from
+   ``SUPPORT`` distinct trusted instances and reliability ``CONFIDENT`` on. An instance of a good pattern is trusted by
+   that reliability, in all its patterns, so what was found induces further patterns. Turns end when no pattern is new.
+3. Good patterns mark the other candidates in their context as new entities, if their shape is one that the kind could have.
+
+Patterns with fewer than ``SUPPORT`` distinct instances can never be good and leave the graph first. Occurrences are
+counted before a shuffle, and good patterns and what they reach are broadcast where few, so frequent contexts cost a row
+a task. Spans are code points, end exclusive. Base matches are leftmost and do not overlap within a kind; a match that
+fails its check is dropped. Added spans never overlap base ones and never remove one; of several kinds the most reliable
+wins, then the first as listed. A null text counts as empty; an empty table gives an empty result. Texts, words and
+candidates of any length are read whole. Each input row gives a row, also where ids are null or repeat; other columns
+pass unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +34,8 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 5
 CONFIDENT = 0.6
 PRIOR = 2.0
-TURNS = 3
-CONTEXT_CHARS = 80
+#: Characters to either side that are looked at first; more where they hold too few words.
+NEARBY = 80
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,7 +44,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S+")
+_REST = re.compile(r"\S*")
+_DIGIT = re.compile(r"[0-9]")
 _MAYBE = re.compile(r"[0-9@]")
+_GROUPS = re.compile(r"[(+]?[0-9][0-9()+./-]*(?:\x20[(]?[0-9][0-9()+./-]*)*")
 _EDGE = "\"'()[]{}<>,;:!?.`*"
 
 
@@ -79,10 +88,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def context(text: str, start: int) -> str:
-    """The two words before, lower-cased, digits as 0; ``^`` at the text's start."""
-    words = text[max(0, start - CONTEXT_CHARS) : start].lower().split()[-2:]
-    return re.sub(r"[0-9]", "0", " ".join(words)) if words else "^"
+def _before(text: str, at: int) -> list[str]:
+    """The two words before, ``^`` in place of those that the text's start cuts off."""
+    span = NEARBY
+    while True:
+        part = text[max(0, at - span) : at].split()
+        if len(part) > 2 or span >= at:  # the first of three may be a part of a word
+            return (["^", "^"] + part)[-2:]
+        span *= 4
+
+
+def _after(text: str, at: int) -> list[str]:
+    """The two words after, ``$`` beyond the text's end; what is left of the token itself is passed over."""
+    m = _REST.match(text, at)
+    at, span = m.end(), NEARBY
+    while True:
+        part = text[at : at + span].split()
+        if len(part) > 2 or at + span >= len(text):
+            return (part + ["$", "$"])[:2]
+        span *= 4
+
+
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """The four lexical patterns of a place, lower-cased, digits as 0."""
+    (a, b), (c, d) = _before(text, start), _after(text, end)
+    return [_DIGIT.sub("0", x.lower()) for x in (f"{a} {b} _", f"{b} _", f"{b} _ {c}", f"_ {c} {d}")]
 
 
 def _could_be(value: str) -> int:
@@ -95,15 +125,16 @@ def _could_be(value: str) -> int:
 SCANNED = (
     "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
     "base array<struct<start:long,kind:int,end:long>>, "
-    "seeds array<struct<kind:int,ctx:string,value:string>>, "
-    "others array<struct<start:long,end:long,ctx:string,value:string,shapes:int>>"
+    "seeds array<struct<kind:int,ctx:array<string>,value:string>>, "
+    "others array<struct<start:long,end:long,ctx:array<string>,value:string,shapes:int>>"
 )
 _BASE_T = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-_SEED_T = pa.list_(pa.struct([("kind", pa.int32()), ("ctx", pa.string()), ("value", pa.string())]))
-_OTHER_T = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ctx", pa.string()), ("value", pa.string()), ("shapes", pa.int32())]))
+_SEED_T = pa.list_(pa.struct([("kind", pa.int32()), ("ctx", pa.list_(pa.string())), ("value", pa.string())]))
+_OTHER_T = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ctx", pa.list_(pa.string())), ("value", pa.string()), ("shapes", pa.int32())]))
 
 
 def _others(text: str, base: list[tuple[int, int, int]]):
+    """(start, end, contexts, value, shapes) of the candidates that no base span overlaps."""
     taken = iter(base)
     span, done = next(taken, None), 0
     for m in _MAYBE.finditer(text):
@@ -117,13 +148,17 @@ def _others(text: str, base: list[tuple[int, int, int]]):
         value = text[start:done]
         a = start + len(value) - len(value.lstrip(_EDGE))
         b = start + len(value.rstrip(_EDGE))
+        run = _GROUPS.match(text, max(start, a - 1) if text[max(start, a - 1) : a] == "(" else a)
+        if run and run.end() > done and _could_be(text[run.start() : run.end()]):
+            a, b = run.start(), run.start() + len(run[0].rstrip(".,/+-("))
+            done = max(done, b)
         while span is not None and span[2] <= a:
             span = next(taken, None)
-        if b - a < 5 or b - a > 64 or (span is not None and span[0] < b):
+        if b - a < 5 or (span is not None and span[0] < b):
             continue
         shapes = _could_be(text[a:b])
         if shapes:
-            yield a, b, context(text, a), text[a:b], int(shapes)
+            yield a, b, contexts(text, a, b), text[a:b], int(shapes)
 
 
 def _scan(batches):
@@ -135,7 +170,7 @@ def _scan(batches):
             base = base_spans(text)
             counts.append([sum(k == i for _, k, _ in base) for i in range(4)])
             bases.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
-            seeds.append([{"kind": k, "ctx": context(text, s), "value": text[s:e][:64]} for s, k, e in base])
+            seeds.append([{"kind": k, "ctx": contexts(text, s, e), "value": text[s:e]} for s, k, e in base])
             others.append([dict(zip(("start", "end", "ctx", "value", "shapes"), o)) for o in _others(text, base)])
             ids.append(row)
             row += 1
@@ -144,24 +179,29 @@ def _scan(batches):
         yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "seeds", "others"])
 
 
-def patterns(seeds: DataFrame, others: DataFrame, turns: int = TURNS) -> DataFrame:
-    """(kind, ctx, seeds, reliability) of contexts of seeds (kind, ctx, value), beside other tokens (ctx, value, shapes)."""
-    seed = seeds.groupBy("kind", "ctx", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("seed", F.lit(True))
+def patterns(seeds: DataFrame, others: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
+    """(kind, ctx, reliability) of the good patterns of seeds (kind, ctx, value) and other candidates (ctx, value, shapes)."""
     kinds = F.filter(F.array(*[F.lit(k) for k in range(len(KINDS))]), lambda k: F.call_function("getbit", F.col("shapes").cast("int"), k) == 1)
-    other = others.select(F.explode(kinds).alias("kind"), "ctx", "value").groupBy("kind", "ctx", "value").agg(F.count(F.lit(1)).alias("n"))
-    known = seed.select("kind", "ctx").distinct()
-    edges = seed.unionByName(other.join(known, ["kind", "ctx"], "left_semi").withColumn("seed", F.lit(False)))
-    edges = durable(edges.withColumn("trust", F.col("seed").cast("double")), "edges")
-    for turn in range(turns):
+    both = seeds.select("kind", F.explode("ctx").alias("ctx"), "value", F.lit(1.0).alias("trust")).unionByName(
+        others.select(F.explode(kinds).alias("kind"), "ctx", "value").select("kind", F.explode("ctx").alias("ctx"), "value", F.lit(0.0).alias("trust"))
+    )
+    edges = durable(both.groupBy("kind", "ctx", "value").agg(F.count(F.lit(1)).alias("n"), F.max("trust").alias("trust")), "edges")
+    wide = edges.groupBy(F.col("kind").alias("_k"), F.col("ctx").alias("_c")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= support).drop("m")
+    edges = durable(edges.join(bounded(durable(wide, "wide")), (F.col("kind") == F.col("_k")) & (F.col("ctx") == F.col("_c"))).drop("_k", "_c"), "edges")
+    known = 0
+    while True:
         best = edges.groupBy("kind", "ctx").agg(
-            F.sum(F.col("seed").cast("long")).alias("seeds"),
-            (F.sum(F.col("n") * F.col("trust")) / (F.sum("n") + PRIOR)).alias("reliability"),
+            F.count(F.when(F.col("trust") >= confident, 1)).alias("support"), (F.sum(F.col("n") * F.col("trust")) / (F.sum("n") + PRIOR)).alias("reliability")
         )
-        if turn == turns - 1:
-            return best
-        reach = edges.join(best, ["kind", "ctx"]).groupBy("kind", "value").agg(F.max("reliability").alias("_t"))
-        edges = durable(edges.join(reach, ["kind", "value"]).withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.col("_t"))).drop("_t"), "edges")
-    return best
+        good = durable(best.where((F.col("support") >= support) & (F.col("reliability") >= confident)).select("kind", "ctx", "reliability"), "patterns")
+        now = good.count()
+        if now == known:  # trust only grows, so no good pattern is lost
+            return good
+        known, of = now, good.select(F.col("kind").alias("_k"), F.col("ctx").alias("_c"), "reliability")
+        reach = edges.join(bounded(of), (F.col("kind") == F.col("_k")) & (F.col("ctx") == F.col("_c"))).groupBy("kind", "value").agg(F.max("reliability").alias("_t"))
+        reach = durable(reach.toDF("_k", "_v", "_t"), "reach")
+        edges = edges.join(bounded(reach), (F.col("kind") == F.col("_k")) & (F.col("value") == F.col("_v")), "left")
+        edges = durable(edges.select("kind", "ctx", "value", "n", F.greatest("trust", "_t").alias("trust")), "edges")
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
@@ -170,9 +210,9 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = durable(map_arrow(src, _scan, SCANNED), "scanned")
     seeds = scanned.select(F.explode("seeds").alias("s")).select("s.*")
     others = scanned.select("row", F.explode("others").alias("o")).select("row", "o.*")
-    good = patterns(seeds, others).where((F.col("seeds") >= support) & (F.col("reliability") >= confident))
-    good = durable(good.select(F.col("ctx").alias("_ctx"), "kind", "reliability"), "patterns")
-    hits = others.join(bounded(good), (F.col("ctx") == F.col("_ctx")) & (F.call_function("getbit", F.col("shapes"), F.col("kind")) == 1))
+    good = patterns(seeds, others, support, confident).withColumnRenamed("ctx", "_ctx")
+    hits = others.select("row", "start", "end", "shapes", F.explode("ctx").alias("ctx"))
+    hits = hits.join(bounded(good), (F.col("ctx") == F.col("_ctx")) & (F.call_function("getbit", F.col("shapes"), F.col("kind")) == 1))
     hits = hits.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("reliability", -F.col("kind"))).alias("kind"))
     more = hits.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", F.col("kind").cast("int").alias("kind"), "end")).alias("added"))
     out = scanned.drop("seeds", "others").join(more, F.col("row") == F.col("_row"), "left")

@@ -61,6 +61,56 @@ def test_patterns_find_unseen_identifiers(spark):
     assert pii.find_private(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def plain_patterns(rows, support=5, confident=0.6, prior=2.0):
+    """The good (kind, context) pairs by plain loops."""
+    occurs, trust = defaultdict(int), {}
+    for text in rows:
+        base = pii.base_spans(text)
+        found = [(k, c, text[s:e], True) for s, k, e in base for c in pii.contexts(text, s, e)]
+        found += [(k, c, v, False) for _, _, cs, v, sh in pii._others(text, base) for c in cs for k in range(4) if sh >> k & 1]
+        for k, c, v, seed in found:
+            occurs[k, c, v] += 1
+            trust[k, c, v] = max(trust.get((k, c, v), 0.0), float(seed))
+    good = {}
+    while True:
+        by = defaultdict(list)
+        for (k, c, v), n in occurs.items():
+            by[k, c].append((n, trust[k, c, v]))
+        new = {p: sum(n * t for n, t in e) / (sum(n for n, _ in e) + prior) for p, e in by.items() if sum(t >= confident for _, t in e) >= support}
+        new = {p: r for p, r in new.items() if r >= confident}
+        if len(new) == len(good):
+            return new
+        good, reach = new, defaultdict(float)
+        for k, c, v in occurs:
+            reach[k, v] = max(reach[k, v], new.get((k, c), 0.0))
+        trust = {(k, c, v): max(t, reach[k, v]) for (k, c, v), t in trust.items()}
+
+
+def test_found_identifiers_induce_further_patterns(spark):
+    rng = random.Random(4)
+    some = lambda: " ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(rng.randint(3, 9)))
+    local = [f"555-{1000 + i}" for i in range(12)]
+    rows = [f"{some()} call me: +1 (555) 555-{1000 + i} {some()}" for i in range(30)]
+    rows += [f"{some()} call me: {x} {some()}" for x in local] + [f"{some()} desk line {x} {some()}" for x in local]  # the pattern "desk line" has no seed
+    rows += [f"{some()} desk line 020 7946 0018 {some()}", "call me: " + "9" * 70, "x" * 500 + " desk line 777-1234", "year 1999-2000 in all", "", None]
+    df = spark.createDataFrame([(i, t, "p") for i, t in enumerate(rows)], "doc_id long, text string, row string")
+    got = {r["doc_id"]: r for r in pii.find_private(df).collect()}
+    good = plain_patterns([t or "" for t in rows])
+    assert (3, "call me: _") in good and (3, "desk line _") in good
+    for i, t in enumerate(rows):
+        t = t or ""
+        base = pii.base_spans(t)
+        want = []
+        for a, b, cs, _, sh in pii._others(t, base):
+            kinds = [(good[k, c], -k) for c in cs for k in range(4) if sh >> k & 1 and (k, c) in good]
+            if kinds:
+                want.append((a, -max(kinds)[1], b))
+        assert [tuple(s) for s in got[i]["spans"]] == sorted(base + want) and got[i]["n_added"] == len(want)
+    last = rows[54]
+    assert [last[s["start"] : s["end"]] for s in got[54]["spans"]] == ["020 7946 0018"]
+    assert [rows[56][s["start"] : s["end"]] for s in got[56]["spans"]] == ["777-1234"] and not got[57]["spans"]
+
+
 def plain_overlaps(docs, items, least=13, percent=80):
     tok = lambda t: [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", t or "")]
     found = set()
