@@ -1,16 +1,21 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Training (on the driver, over a bounded sample of labelled documents chosen by a hash of the id: at most ``SAMPLE`` of
-each class, none above ``SAMPLE_CHARS`` characters) has three steps. Words that toxic documents hold far more often than
-others make token labels: 1 for such a word in a toxic document, else 0. A two-state CRF is fitted to the chains, with
-weights for the word, its neighbours, its first and last letters, and the transitions, by averaged stochastic gradient
-on the forward-backward marginals. A logistic calibration then maps a document's largest marginal and expected number
-of toxic tokens to its probability, on documents of the sample that the CRF has not been fitted to.
+Only documents are labelled, so the token labels are latent: a toxic document has at least one toxic token (but for a
+share ``NOISE`` of the labels), another has none. Training (on the driver, over a bounded sample of labelled documents
+chosen by a hash of the id: at most ``SAMPLE`` of each class, none above ``SAMPLE_CHARS`` characters) climbs the
+likelihood of the labels under a two-state CRF: forward-backward gives the marginals of the tokens as they are and given
+the document's label, and weights follow the difference. The weights are for the word, its neighbours, its first three
+and six and its last three bytes, and the transitions. They start from the association of each feature with the labels,
+less three standard errors, over documents that are no copies of each other. A logistic calibration then maps a
+document's largest marginal and expected number of toxic tokens to its probability, on documents of the sample that the
+CRF has not been fitted to.
 
 A chain is a sentence (up to ``. ! ?`` or a line feed), or a run of ``CHAIN`` words of a longer one. Inference reads whole
-texts, chains of all texts of a block side by side. Offending offsets are code points of words whose marginal is 0.5 or
-more; adjoining words make one span. Null and empty texts score like a document without toxic words. Without labels of
-both classes every score is the share of label 1 (0 if there are none). Null ids are scored like others.
+texts of any length, chains of all texts of a block side by side. Offending offsets are code points of words whose
+marginal is 0.5 or more; adjoining words make one span. Null and empty texts score like a document without toxic words;
+an empty table gives an empty result. Without labels of both classes every score is the share of label 1 (0 if there are
+none). Each row is scored by itself: null ids like others, repeated rows alike. Ties in the sample's order go by the text.
+Other columns pass by name where asked for (``keep``).
 """
 
 from __future__ import annotations
@@ -27,6 +32,9 @@ SAMPLE = 2000
 SAMPLE_CHARS = 20_000
 CHAIN = 128
 BUCKETS = 1 << 18
+#: Share of documents without a toxic token that are labelled toxic all the same.
+NOISE = 0.02
+EPOCHS = 8
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True
 
@@ -54,26 +62,31 @@ class Chains:
             self.end = np.minimum(self.end, offsets[1:][text])
 
     def features(self, data: np.ndarray) -> np.ndarray:
-        """Bucket of each word's five features, a row a word; bucket 0 holds what is absent."""
+        """Bucket of each word's six features, a row a word; bucket 0 holds what is absent."""
         h, n = self.hash, len(self.hash)
         low = K.LOWER[data].astype(np.uint64)
         take = lambda p: low[np.clip(p, 0, max(len(low) - 1, 0))] if n else np.zeros(0, np.uint64)
         head = take(self.start) << np.uint64(16) | take(np.minimum(self.start + 1, self.end - 1)) << np.uint64(8) | take(np.minimum(self.start + 2, self.end - 1))
         tail = take(self.end - 1) << np.uint64(16) | take(np.maximum(self.end - 2, self.start)) << np.uint64(8) | take(np.maximum(self.end - 3, self.start))
+        six = np.zeros_like(h)
+        for j in range(6):
+            own = self.start + j
+            six = six << np.uint64(8) | np.where(own < self.end, take(own), np.uint64(0))
         before, after = np.zeros_like(h), np.zeros_like(h)
         before[1:], after[:-1] = h[:-1], h[1:]
-        out = np.stack([h, before, after, head, tail], axis=1)
-        out = (K.mix(out + np.arange(1, 6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
+        out = np.stack([h, before, after, head, tail, six], axis=1)
+        out = (K.mix(out + np.arange(1, 7, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
         last = np.append(self.first[1:], True) if n else self.first
         out[self.first, 1] = 0
         out[last, 2] = 0
         return out
 
 
-def marginals(score: np.ndarray, begin: np.ndarray, length: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """P(state 1) of each word by forward-backward; ``score`` is the log odds of state 1, ``move`` a 2 x 2 log weight.
+def messages(score: np.ndarray, begin: np.ndarray, length: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(odds, ahead, back) of each word: its own odds of state 1, and those that forward and backward messages give.
 
-    Chains run side by side: step t handles the t-th word of all chains that have one.
+    ``score`` is the log odds of state 1, ``move`` a 2 x 2 log weight. Chains run side by side: step t handles the t-th
+    word of all chains that have one.
     """
     t00, t01, t10, t11 = np.exp(move.reshape(-1))
     odds = np.exp(np.clip(score, -30, 30))
@@ -93,16 +106,41 @@ def marginals(score: np.ndarray, begin: np.ndarray, length: np.ndarray, move: np
         at = begin[:k] + length[:k] - 1 - t
         r = back[at + 1] * odds[at + 1]
         back[at] = np.clip((t10 + t11 * r) / (t00 + t01 * r), 1e-30, 1e30)
+    return odds, ahead, back
+
+
+def marginals(score: np.ndarray, begin: np.ndarray, length: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """P(state 1) of each word by forward-backward."""
+    _, ahead, back = messages(score, begin, length, move)
     r = np.clip(ahead * back, 1e-30, 1e30)
     return r / (1 + r)
 
 
+def expected(score: np.ndarray, begin: np.ndarray, length: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of the words, of their pairs of states with the word before (zeros for first words), and the log
+    probability that all words of the chain are in state 0, for each word of it its own factor."""
+    odds, ahead, back = messages(score, begin, length, move)
+    r = np.clip(ahead * back, 1e-30, 1e30)
+    p = r / (1 + r)
+    m = np.exp(move)
+    first = np.zeros(len(p), bool)
+    first[begin] = True
+    q = np.clip(back * odds, 1e-30, 1e30)
+    before = np.concatenate(([1.0], ahead[:-1])) if len(p) else ahead
+    joint = np.stack([np.full(len(p), m[0, 0]), m[0, 1] * q, before * m[1, 0], before * m[1, 1] * q], axis=1)
+    joint /= joint.sum(axis=1, keepdims=True) if len(p) else 1
+    joint[first] = 0
+    none = np.where(first, np.log1p(-np.minimum(p, 1 - 1e-12)), -np.log1p(m[0, 1] * q / m[0, 0]))
+    return p, joint, none
+
+
 class Model:
     def __init__(self, share: float):
         self.share, self.weights, self.move, self.curve = share, None, np.zeros((2, 2)), None
 
     def tag(self, data: np.ndarray, chains: Chains) -> np.ndarray:
-        return marginals(self.weights[chains.features(data)].sum(axis=1) + self.weights[0], chains.begin, chains.length, self.move)
+        x = chains.features(data)
+        return marginals(self.weights[x].sum(axis=1) + self.weights[0] * (1 - (x == 0).sum(axis=1)), chains.begin, chains.length, self.move)
 
     def score(self, most: np.ndarray, total: np.ndarray) -> np.ndarray:
         a, b, c = self.curve
@@ -117,83 +155,75 @@ def _summary(p: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return most, total
 
 
-def _lexicon(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Hashes of words that many toxic documents hold, at 20 times the rate of the others or more (smoothed).
-
-    Copies count once: of documents that share four of their eight least hashes of word triples, only the first counts.
-    Many: at least ``max(4, 0.4 %)`` of the toxic documents.
-    """
-    seen, own, label = set(), [], []
-    for w, bad in zip(words, toxic):
+def _once(words: list[np.ndarray]) -> np.ndarray:
+    """Which texts share less than four of their eight least hashes of word triples with those before them."""
+    seen, out = set(), np.ones(len(words), bool)
+    for i, w in enumerate(words):
         if len(w) >= 3:
             least = np.unique(K.mix(w[:-2] * K._MULT[0] + w[1:-1] * K._MULT[1] + w[2:] * K._MULT[2]))[:8].tolist()
-            again = sum(x in seen for x in least) >= 4
+            out[i] = sum(x in seen for x in least) < 4
             seen.update(least)
-            if again:
-                continue
-        own.append(np.unique(w))
-        label.append(bad)
-    label = np.array(label, bool)
-    if not own or not label.any():
-        return np.zeros(0, np.uint64)
-    names, where = np.unique(np.concatenate(own), return_inverse=True)
-    bad = np.bincount(where, np.repeat(label, [len(w) for w in own]), len(names))
-    good = np.bincount(where, minlength=len(names)) - bad
-    n1, n0 = label.sum(), max(1, (~label).sum())
-    rate = ((bad + 0.1) / (n1 + 0.2)) / ((good + 0.5) / (n0 + 1))
-    return names[(bad >= max(4, 0.004 * n1)) & (rate >= min(20, n0 / 10))]
-
-
-def fit(texts: list[str], toxic: list[bool], share: float | None = None, epochs: int = 6, seed: int = 3) -> Model:
+    return out
+
+
+def _start(feats: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """First weights: the log odds ratio of a feature between toxic and other documents less three standard errors, 0 at least and 3 at most."""
+    have = [np.unique(x[:, [0, 3, 4, 5]]) for x in feats]  # not of the neighbours
+    flat, label = (np.concatenate(have) if have else np.zeros(0, np.int64)), np.repeat(toxic, [len(x) for x in have])
+    bad = np.bincount(flat[label], minlength=BUCKETS) + 0.5
+    good = np.bincount(flat[~label], minlength=BUCKETS) + 0.5
+    odds = np.log(bad / good) - np.log((toxic.sum() + 1) / ((~toxic).sum() + 1))
+    w = np.clip(odds - 3 * np.sqrt(1 / bad + 1 / good), 0, 3)
+    w[0] = 0
+    return w
+
+
+def fit(texts: list[str], toxic: list[bool], share: float | None = None, epochs: int = EPOCHS, seed: int = 3) -> Model:
     """A model of the given documents; ``share`` is that of label 1 among all documents, if the sample has another."""
     label = np.array(toxic, bool)
     model = Model(share if share is not None else float(label.mean()) if len(label) else 0.0)
     if not label.any() or label.all():
         return model
-    parts, gold, rows, rng = [], [], [], np.random.Generator(np.random.PCG64(seed))
+    parts, words, feats, lens, rng = [], [], [], [], np.random.Generator(np.random.PCG64(seed))
     for first, n, data, offsets in K.chunks(pa.array(texts, pa.large_string())):
         c = Chains(data, offsets)
         parts.append((first, n, data, c))
-        rows += [c.hash[c.per_text[i] : c.per_text[i + 1]] for i in range(n)]
-    fitted = rng.random(len(label)) < 0.7
-    words = _lexicon([rows[i] for i in np.flatnonzero(fitted)], label[fitted])
-    feats, ys, begins, lens = [], [], [], []
-    for first, n, data, c in parts:
         x = c.features(data)
-        y = np.isin(c.hash, words) & label[first + c.text] if len(c.hash) else np.zeros(0, bool)
-        has = np.add.reduceat(y, c.begin) > 0 if len(c.begin) else np.zeros(0, bool)
-        use = fitted[first + c.text[c.begin]] & (has | (rng.random(len(c.begin)) < 0.25)) if len(c.begin) else has
-        for b, m in zip(c.begin[use], c.length[use]):
-            feats.append(x[b : b + m])
-            ys.append(y[b : b + m].astype(np.int64))
-    order_all = np.arange(len(feats))
-    w, move = np.zeros(BUCKETS), np.zeros((2, 2))
-    w[0] = -2.0
-    sum_w, sum_move, seen, step = np.zeros(BUCKETS), np.zeros((2, 2)), 0, 0.5
-    block = 64
+        cut = np.searchsorted(c.begin, c.per_text)
+        for i in range(n):
+            words.append(c.hash[c.per_text[i] : c.per_text[i + 1]])
+            feats.append(x[c.per_text[i] : c.per_text[i + 1]])
+            lens.append(c.length[cut[i] : cut[i + 1]])
+    fitted = rng.random(len(label)) < 0.7
+    use = np.flatnonzero(fitted & np.array([len(x) > 0 for x in feats]))
+    use = use[_once([words[i] for i in use])]
+    w, move = _start([feats[i] for i in use], label[use]), np.zeros((2, 2))
+    w[0] = -6.0
+    sum_w, sum_move, seen, block = np.zeros(BUCKETS), np.zeros((2, 2)), 0, 64
     for epoch in range(epochs):
-        rng.shuffle(order_all)
-        for at in range(0, len(order_all), block):
-            own = order_all[at : at + block]
-            x, y = np.concatenate([feats[i] for i in own]), np.concatenate([ys[i] for i in own])
-            length = np.array([len(feats[i]) for i in own])
+        order = rng.permutation(use)
+        rate = 0.5 / (1 + epoch)
+        for at in range(0, len(order), block):
+            own = order[at : at + block]
+            x = np.concatenate([feats[i] for i in own])
+            length = np.concatenate([lens[i] for i in own])
             begin = np.concatenate(([0], np.cumsum(length)[:-1]))
-            score = w[x].sum(axis=1) + w[0]
-            p = marginals(score, begin, length, move)
-            rate = step / (1 + epoch)
-            g = y - p
-            np.add.at(w, x.reshape(-1), np.repeat(rate * g, x.shape[1]))
-            w[0] += rate * g.sum() / block
-            inner = np.ones(len(x), bool)
-            inner[begin] = False
-            b, a = np.flatnonzero(inner), np.flatnonzero(inner) - 1
-            if len(b):  # pairwise expectations by the product of neighbouring marginals' messages
-                joint = _pairs(score, begin, length, move, a, b)
-                seen_pairs = np.zeros((2, 2))
-                np.add.at(seen_pairs, (y[a], y[b]), 1)
-                move += rate * (seen_pairs - joint) / block - 1e-4 * move
-        w *= 0.999
-        sum_w, sum_move, seen = sum_w + w, sum_move + move, seen + 1
+            doc = np.repeat(np.arange(len(own)), [len(feats[i]) for i in own])
+            p, joint, none = expected(w[x].sum(axis=1) + w[0] * (1 - (x == 0).sum(axis=1)), begin, length, move)
+            none = np.exp(np.bincount(doc, none, len(own)))  # that no word of the document is toxic
+            some = np.maximum(1 - none, 1e-9)
+            holds = np.where(label[own], some / (some + NOISE * none), 0.0)  # that one is, given the label
+            g = p * (holds / some)[doc] - p
+            step = np.bincount(x.reshape(-1), np.repeat(g, x.shape[1]), BUCKETS)
+            step[0] = g.sum() / block
+            w += rate * step
+            inner = joint.sum(axis=1) > 0
+            change = joint * ((holds / some)[doc] - 1)[:, None]
+            change[:, 0] += np.where(inner, ((1 - holds) - holds / some * none)[doc], 0)
+            move += rate * change.sum(axis=0).reshape(2, 2) / block - 1e-4 * move
+            w[1:] *= 0.999
+        if epoch >= epochs // 2:
+            sum_w, sum_move, seen = sum_w + w, sum_move + move, seen + 1
     model.weights, model.move = (sum_w / seen).astype(np.float32), sum_move / seen
     most, total = np.zeros(len(label)), np.zeros(len(label))
     for first, n, data, c in parts:
@@ -205,24 +235,6 @@ def fit(texts: list[str], toxic: list[bool], share: float | None = None, epochs:
     return model
 
 
-def _pairs(score, begin, length, move, a, b) -> np.ndarray:
-    """Expected counts of the neighbouring states of words ``a`` and ``b = a + 1``."""
-    odds = np.exp(np.clip(score, -30, 30))
-    m = np.exp(move)
-    ahead, back = np.ones_like(odds), np.ones_like(odds)
-    for s, n in zip(begin, length):
-        r = ahead[s] = odds[s]
-        for i in range(s + 1, s + n):
-            r = ahead[i] = odds[i] * (m[0, 1] + m[1, 1] * r) / (m[0, 0] + m[1, 0] * r)
-        r = 1.0
-        for i in range(s + n - 2, s - 1, -1):
-            q = r * odds[i + 1]
-            r = back[i] = (m[1, 0] + m[1, 1] * q) / (m[0, 0] + m[0, 1] * q)
-    q = back[b] * odds[b]
-    joint = np.stack([np.full(len(a), m[0, 0]), m[0, 1] * q, ahead[a] * m[1, 0], ahead[a] * m[1, 1] * q], axis=1)
-    return (joint / joint.sum(axis=1, keepdims=True)).sum(axis=0).reshape(2, 2)
-
-
 def _calibrate(most: np.ndarray, total: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
     x = np.stack([np.ones_like(most), most, np.log1p(total)], axis=1)
     w = np.zeros(3)
@@ -235,12 +247,15 @@ def _calibrate(most: np.ndarray, total: np.ndarray, label: np.ndarray, weight: n
 
 def train(labelled: DataFrame, per_class: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> Model:
     """A model from (doc_id, text, toxic); rows with a null label or text teach nothing."""
-    good = labelled.where("toxic is not null and text is not null").where(F.length("text") <= most_chars)
-    counts = {int(r["toxic"]): r["n"] for r in good.groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    good = labelled.where("toxic is not null and text is not null").withColumn("toxic", (F.col("toxic") > 0).cast("int"))
+    short = F.length("text") <= most_chars
+    found = good.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(short, 1)).alias("short")).collect()  # two rows at most
+    counts = {r["toxic"]: r["n"] for r in found}
+    good = good.where(short)
     dice = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_003)) / 1_000_003
     rows = []
-    for value, n in sorted(counts.items()):
-        some = good.where((F.col("toxic") == value) & (dice < min(1.0, 1.5 * per_class / n)))
+    for value, n in sorted((r["toxic"], r["short"]) for r in found):
+        some = good.where((F.col("toxic") == value) & (dice < min(1.0, 1.5 * per_class / max(1, n))))
         rows += [(r["text"], bool(value)) for r in some.orderBy(F.xxhash64("doc_id", F.lit(4)), "text").limit(per_class).select("text").collect()]
     every = sum(counts.values())
     return fit([t for t, _ in rows], [v for _, v in rows], counts.get(1, 0) / every if every else 0.0)

@@ -82,6 +82,60 @@ def test_marginals_equal_enumeration():
     assert two[:6] == pytest.approx(each / total)
 
 
+def test_expectations_equal_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    score, move, length = rng.normal(size=7), rng.normal(size=(2, 2)), np.array([4, 3])
+    begin = np.array([0, 4])
+    p, joint, none = toxicity.expected(score, begin, length, move)
+    weights = {}
+    for y in itertools.product((0, 1), repeat=7):
+        weights[y] = np.exp(sum(score[i] * y[i] for i in range(7)) + sum(move[y[i], y[i + 1]] for i in (0, 1, 2, 4, 5)))
+    total = sum(weights.values())
+    assert np.exp(none.sum()) == pytest.approx(weights[(0,) * 7] / total)
+    for i in (1, 2, 3, 5, 6):
+        for a in (0, 1):
+            for b in (0, 1):
+                assert joint[i, 2 * a + b] == pytest.approx(sum(w for y, w in weights.items() if (y[i - 1], y[i]) == (a, b)) / total)
+    assert not joint[0].any() and not joint[4].any()
+    some = 1 - weights[(0,) * 7] / total  # given that some word is toxic, the marginal is divided by this
+    for i in range(7):
+        assert p[i] / some == pytest.approx(sum(w for y, w in weights.items() if any(y) and y[i]) / sum(w for y, w in weights.items() if any(y)))
+
+
+def test_toxic_words_are_learnt_from_document_labels():
+    import random
+
+    rng = random.Random(7)
+    names = [f"{a}{b}" for a in "bcdfghjk" for b in ("ander", "olim", "usta", "ippen", "arro", "entis")]
+    some = lambda: " ".join(rng.choice(names) for _ in range(rng.randint(20, 60)))
+    bad = [f"{some()}. {some()} zorg{rng.choice('abcdefgh')}x {some()}! {some()}" for _ in range(300)]
+    good = [f"{some()}. {some()} {some()}! {some()}" for _ in range(900)]
+    model = toxicity.fit(bad[:200] + good[:800] + good[850:860], [True] * 200 + [False] * 800 + [True] * 10)
+    hits = total = right = 0
+    for text, label in [(t, True) for t in bad[200:]] + [(t, False) for t in good[860:]]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        c = toxicity.Chains(data, np.array([0, len(data)]))
+        p = model.tag(data, c)
+        words = [text[a:b] for a, b in zip(c.start, c.end)]
+        hits += sum(x >= 0.5 and w.startswith("zorg") for x, w in zip(p, words))
+        total += sum(x >= 0.5 for x in p)
+        right += (model.score(*toxicity._summary(p, c.per_text))[0] >= 0.5) == label
+    assert right == 140 and hits >= 95 and hits == total
+
+
+def test_toxicity_edge_cases(spark):
+    model = toxicity.fit(["a foozle b c"] * 3 + [f"w{i} foozle v{i} foozle" for i in range(60)], [False] * 3 + [True] * 60)
+    long = "x " * 200_000 + "foozle"
+    df = spark.createDataFrame([(1, long, 1, "s"), (1, long, 1, "s"), (None, "foozle", 2, "t"), (2, None, 3, "u")], "doc_id long, text string, _text int, toxic string")
+    got = toxicity.score_documents(df, model, keep=("doc_id", "toxic")).collect()
+    assert len(got) == 4 and [r["score"] for r in got if r["doc_id"] == 1][0] == [r["score"] for r in got if r["doc_id"] == 1][1]
+    assert toxicity.score_documents(df.limit(0), model).count() == 0
+    both = spark.createDataFrame([(1, "y " * 20_000, 1), (2, "a b", 0), (3, "c d", 0), (4, "e", 1)], "doc_id long, text string, toxic int")
+    assert toxicity.train(both).share == 0.5  # long texts teach no words, but count for the share
+
+
 def test_toxicity_without_both_classes(spark):
     df = spark.createDataFrame([(1, "a", 0)], "doc_id long, text string, toxic int")
     assert {r["score"] for r in toxicity.score_documents(df, toxicity.train(df)).collect()} == {0.0}
