@@ -6,9 +6,11 @@ each family from the others; the languages of the family that wins are told apar
 and then by summed margins.
 
 The classifier is fitted on a bounded sample: at most ``SAMPLE_PER_LANGUAGE`` whole texts a language and ``SAMPLE``
-in all, chosen by a hash of the id. Prediction reads every whole text. Null texts and texts without a letter are
+in all (but at least ``LEAST_SAMPLE`` a language), chosen by a hash of the id; more than ``MOST_LANGUAGES`` labels are
+refused, none is left out. Prediction reads every whole text. Null texts and texts without a letter are
 ``und`` with score 0; so is every text if nothing can be learned. With one language learned, that is the answer, score 1.
-Rows that repeat are predicted alike; null ids are predicted like others; ties go to the first language in order.
+Rows that repeat are predicted alike; null ids are predicted like others; ties go to the first language in order. An empty
+table gives an empty result. Other columns pass by name where asked for, as long as no two of the output share a name.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .common import fresh, map_arrow
 
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE = 4000
+LEAST_SAMPLE = 4
+MOST_LANGUAGES = 2000
 SIZE = 2048
 UNKNOWN = "und"
 
@@ -137,12 +141,15 @@ class Model:
 
 
 def sample(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE) -> DataFrame:
-    """At most ``per_language`` rows (doc_id, text, lang) of each language and ``most`` in all, by a hash of the id.
+    """At most ``per_language`` rows (doc_id, text, lang) of each language and about ``most`` in all, by a hash of the id.
 
     A share is taken by the hash first, so no language is sorted whole.
     """
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most // 10).collect()
-    each = max(10, min(per_language, most // max(1, len(counts))))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = sorted(counts, key=lambda r: r["lang"])
+    each = max(LEAST_SAMPLE, min(per_language, most // max(1, len(counts))))
     if not counts:
         return labelled.limit(0)
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * each / r["n"]))])[F.col("lang")]

@@ -17,9 +17,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .licences import scan_licences
+    from .licences import sample_others, scan_licences
 
-    return scan_licences(_read(spark, sf_dir, "documents"))
+    docs = _read(spark, sf_dir, "documents")
+    return scan_licences(docs, rejoin=True, others=sample_others(docs, rejoin=True))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

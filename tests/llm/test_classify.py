@@ -174,3 +174,56 @@ def test_licences_without_licence_words(spark):
     want = [plain_family(x) for x in lines]
     assert want[0] == "proprietary" and [got.get(i, "unknown") for i in range(len(lines))] == want
     assert {3, 4, 5, 6, 12} <= set(got) and not {7, 8, 9, 10, 11, 13} & set(got)
+
+
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS."""
+APACHE = """# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License."""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+
+
+def test_wrapped_notices_are_one_paragraph(spark):
+    others = licences.sample_others(spark.read.parquet(f"{SF}/documents.parquet"), rejoin=True)
+    assert 100 < len(others) <= licences.SAMPLE
+    plain = "He read the book in the garden, and the general public may\nvisit the free software museum. The licence of the car was lost."
+    long = "word and more words " * 60_000 + "\n" + APACHE
+    df = spark.createDataFrame([(1, ISC), (2, APACHE), (3, GPL), (4, plain), (5, long), (5, long), (6, None), (7, "")], "doc_id long, text string")
+    got = licences.scan_licences(df, rejoin=True, others=others).collect()
+    family = lambda i: sorted((r["paragraph"], r["family"]) for r in got if r["doc_id"] == i)
+    assert family(1) == [(0, "isc"), (2, "isc")] and family(2) == [(0, "apache"), (1, "apache")] and family(3) == [(0, "gpl")]
+    assert {f for _, f in family(4)} == {"unknown"} and [f for _, f in family(5) if f != "unknown"] == ["apache"] * 4
+    assert licences.CALIBRATION["unknown_called_known"] < 0.05 and licences.CALIBRATION["log_loss"] < 3
+    assert licences.scan_licences(df.limit(0), rejoin=True).count() == 0 and licences.sample_others(df.limit(0)) == ()
+
+
+def test_features_are_looked_up_by_hash(spark):
+    names, features, _, _ = licences.model()
+    slots, size = licences._slots(features)
+    df = spark.createDataFrame([(f,) for f in features], "g string")
+    at = {r[0]: r[1] for r in df.select("g", F.pmod(F.xxhash64("g"), F.lit(size))).collect()}
+    assert [slots[at[f]] for f in features] == list(range(1, len(features) + 1))
+
+
+def test_language_ties_and_bounds(spark, monkeypatch):
+    rows = [(1, "aa bb", "en"), (2, "aa bb", "de"), (3, "aa bb", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    got = {r["lang_pred"] for r in language.identify(df, model).collect()}
+    assert len(got) == 1 and got < {"de", "en"}  # equal texts are predicted alike
+    many = spark.createDataFrame([(i, f"word{i} more{i}", f"l{i % 30}") for i in range(300)], "doc_id long, text string, lang string")
+    assert len(language.train(many, most=60).names) == 30  # no language is left out
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 29)
+    with pytest.raises(ValueError):
+        language.train(many)
