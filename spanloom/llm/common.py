@@ -138,10 +138,3 @@ def fresh(columns: list[str], name: str) -> str:
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
-
-
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` less the rows whose id is in ``ids``; rows with a null id stay."""
-    name = fresh(docs.columns, "_gone")
-    gone = ids.select(F.col(id_col).alias(name))
-    return docs.join(bounded(gone), F.col(id_col) == F.col(name), "left_anti")

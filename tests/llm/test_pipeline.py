@@ -113,3 +113,18 @@ def test_query_equals_sql(spark, name):
     got, want = queries.QUERIES[name](spark, SF).toPandas(), c.execute(queries.ORACLE_SQL[name]).df()
     plain = lambda d: sorted(map(str, d[sorted(d.columns)].astype(object).where(d[sorted(d.columns)].notna(), None).values.tolist()))
     assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
+
+
+def test_stages_tell_rows_by_id_and_text(spark, tmp_path):
+    rng = random.Random(3)
+    some = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    base, item = some(80), " ".join(f"bench{i}" for i in range(20))
+    near = [base, base.replace(base.split()[40], "zz"), base + " end"]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(3, near[0]), (5, near[1]), (5, "a clean text of its own"), (None, near[2]), (None, "another text without an id"), (7, f"so {item} ends"), (7, "clean beside a leak"), (None, f"null {item} {some(30)}")]
+    docs = spark.createDataFrame([(*r, "en", 1) for r in rows], "doc_id long, text string, lang string, _key int")
+    kept = C.near_dedup(spark, docs, str(tmp_path))
+    texts = [r["text"] for r in kept.collect()]
+    assert kept.columns == docs.columns and sum(t in near for t in texts) == 1 and len(texts) == len(rows) - 2
+    clean = [r["text"] for r in C.benchmark_leaks(spark, docs, str(tmp_path)).collect()]
+    assert sorted(clean) == sorted(t for _, t in rows if "bench1" not in t)
