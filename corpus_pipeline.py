@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of ``documents``. No stage drops a clean document: the language
 stage drops texts that are null or hold no letter.
+
+All stages tell rows by id and text, so rows with a null or repeated id are judged by themselves, and other columns pass
+unread, whatever their names. Empty tables and very long texts pass like others; of ties the operators say which stays.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.bpe import encode_texts, load_ranks
-from spanloom.llm.common import bounded, durable, fresh, without_ids
+from spanloom.llm.common import bounded, durable, fresh
 from spanloom.llm.decontaminate import decontaminate
 from spanloom.llm.exact import drop_duplicates
 from spanloom.llm.language import UNKNOWN, identify, train, trusted
@@ -31,7 +34,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = identify(docs.select(F.col("doc_id").alias(own_id), sha.alias(own_sha), has.alias(letter), "text"), model, keep=(own_id, own_sha, letter))
     # Texts with letters are ``und`` too where no model could be fitted, or where that is a label.
     gone = durable(found.where((F.col("lang_pred") == UNKNOWN) & ~F.col(letter)).select(own_id, own_sha).distinct(), "rejected")
-    return docs.join(bounded(gone), F.col("doc_id").eqNullSafe(F.col(own_id)) & (sha == F.col(own_sha)), "left_anti")
+    # The hash is compared after the ids, so it is taken of texts with such an id only.
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & F.when(F.concat(sha, F.lit("")) == F.col(own_sha), True).otherwise(False)
+    return docs.join(bounded(gone), same, "left_anti")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +45,24 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five words, Jaccard 0.8) the smallest id stays."""
-    gone = durable(near_duplicates(docs).where("not kept").select("doc_id"), "near")
-    return without_ids(docs, gone)
+    """Of each component of near copies (five words, Jaccard 0.8) the smallest id stays.
+
+    Rows whose id is null or repeats are documents of their own: they go by a negative number, the hash of their id and
+    text, so equal rows stay or go together.
+    """
+    own_key, own_id, own_gone = fresh(docs.columns, "_key"), fresh(docs.columns, "_again"), fresh(docs.columns, "_gone")
+    again = docs.groupBy(F.col("doc_id").alias(own_id)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(own_id)
+    again = bounded(durable(again, "again"))
+    other = F.col("doc_id").isNull() | F.col(own_id).isNotNull()
+    key = F.when(other, -1 - F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))).otherwise(F.col("doc_id").cast("long"))
+    keyed = docs.join(again, F.col("doc_id") == F.col(own_id), "left").withColumn(own_key, key)
+    found = near_duplicates(keyed.select(own_key, "text"), id_col=own_key)
+    gone = durable(found.where("not kept").select(F.col("doc_id").alias(own_gone)).distinct(), "near")
+    return keyed.join(bounded(gone), F.col(own_key) == F.col(own_gone), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a stretch of a test item."""
+    """Drops rows that hold a stretch of a test item, told by id and text."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
