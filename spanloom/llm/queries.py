@@ -56,8 +56,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_documents, train, trusted
 
     docs = _read(spark, sf_dir, "documents")
-    labels = _read(spark, sf_dir, "labels").where(trusted(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), "toxic")
-    model = train(docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic"))
+    labels = _read(spark, sf_dir, "labels").where(trusted(F.col("doc_id"))).select("doc_id", "toxic")
+    model = train(docs.select("doc_id", "text"), labels)
     found = score_documents(docs, model)
     return found.select(
         "doc_id",

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
-from .common import map_arrow
+from .common import bounded, map_arrow
 
 SAMPLE = 2000
 SAMPLE_CHARS = 20_000
@@ -245,20 +245,29 @@ def _calibrate(most: np.ndarray, total: np.ndarray, label: np.ndarray, weight: n
     return tuple(float(v) for v in w)
 
 
-def train(labelled: DataFrame, per_class: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> Model:
-    """A model from (doc_id, text, toxic); rows with a null label or text teach nothing."""
-    good = labelled.where("toxic is not null and text is not null").withColumn("toxic", (F.col("toxic") > 0).cast("int"))
-    short = F.length("text") <= most_chars
-    found = good.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(short, 1)).alias("short")).collect()  # two rows at most
-    counts = {r["toxic"]: r["n"] for r in found}
-    good = good.where(short)
+def train(docs: DataFrame, labels: DataFrame | None = None, per_class: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> Model:
+    """A model from (doc_id, text) and labels (doc_id, toxic), or from (doc_id, text, toxic); rows with a null label or text teach nothing.
+
+    The sample is drawn from the labels, and only its ids meet the texts, by a broadcast of at most some
+    ``1.5 * per_class`` rows a class; the counts need no text.
+    """
     dice = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_003)) / 1_000_003
-    rows = []
+    short = F.col("_chars") <= most_chars
+    sized = docs.where("text is not null").withColumn("_chars", F.length("text"))
+    if labels is None:
+        labels, every = docs.select("doc_id", "toxic"), sized.select("toxic", "_chars")
+    else:
+        every = sized.select(F.col("doc_id").alias("_id"), "_chars").join(labels, F.col("_id") == F.col("doc_id")).select("toxic", "_chars")
+    label = (F.col("toxic") > 0).cast("int")
+    found = every.where("toxic is not null").groupBy(label.alias("toxic")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(short, 1)).alias("short")).collect()
+    counts, rows = {r["toxic"]: r["n"] for r in found}, []  # two classes at most
     for value, n in sorted((r["toxic"], r["short"]) for r in found):
-        some = good.where((F.col("toxic") == value) & (dice < min(1.0, 1.5 * per_class / max(1, n))))
+        some = labels.where((label == value) & (dice < min(1.0, 1.5 * per_class / max(1, n)))).select(F.col("doc_id").alias("_id")).distinct()
+        some = sized.join(bounded(some), F.col("doc_id").eqNullSafe(F.col("_id"))).where(short)
+        some = some if "toxic" not in docs.columns else some.where(label == value)
         rows += [(r["text"], bool(value)) for r in some.orderBy(F.xxhash64("doc_id", F.lit(4)), "text").limit(per_class).select("text").collect()]
-    every = sum(counts.values())
-    return fit([t for t, _ in rows], [v for _, v in rows], counts.get(1, 0) / every if every else 0.0)
+    total = sum(counts.values())
+    return fit([t for t, _ in rows], [v for _, v in rows], counts.get(1, 0) / total if total else 0.0)
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
