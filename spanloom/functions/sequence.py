@@ -76,6 +76,72 @@ def longest_run(seq: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(found, F.length)), F.lit(0))
 
 
+def run_lengths(seq: Column) -> Column:
+    """Lengths of the maximal runs of one letter, in order."""
+    return F.transform(F.regexp_extract_all(seq, F.lit("((.)\\2*)"), F.lit(1)), F.length)
+
+
+def run_summary(df: DataFrame, key: str, seq: str, share: float = 0.95) -> DataFrame:
+    """Per key: longest run, mean run and the interpolated percentile ``share`` of the runs; null for an empty string."""
+    rows = df.where(F.length(seq) > 0).select(key, F.explode(F.array(F.sort_array(run_lengths(F.col(seq))))).alias("r")).withColumn("_at", (F.size("r") - 1) * F.lit(share))
+    low, high = F.get("r", F.floor("_at").cast("int")), F.get("r", F.ceil("_at").cast("int"))
+    mean = F.aggregate("r", F.lit(0).cast("long"), lambda t, x: t + x) / F.size("r")
+    return rows.select(key, F.array_max("r").alias("longest"), mean.alias("mean"), (low + (high - low) * (F.col("_at") - F.floor("_at"))).alias("high"))
+
+
+def block_entropies(seq: Column, size: int) -> Column:
+    """Entropy in bits of each consecutive block of ``size`` letters (the last may be shorter), over all letters that occur, N too."""
+    blocks = F.regexp_extract_all(seq, F.lit(f"(.{{1,{size}}})"), F.lit(1))
+
+    def bits(b: Column) -> Column:
+        n, total = F.length(b), F.lit(0.0)
+        for base in "ACGTN":
+            c = count_base(b, base)
+            total = total + F.when(c > 0, -(c / n) * F.log2(c / n)).otherwise(0.0)
+        return total
+
+    return F.transform(blocks, bits)
+
+
+def block_profile(df: DataFrame, key: str, seq: str, size: int = 50) -> DataFrame:
+    """Per key: number of blocks, mean block entropy, and the largest step from a block to the next (null with one block)."""
+    rows = df.where(F.length(seq) > 0).select(key, F.explode(F.array(block_entropies(F.col(seq), size))).alias("b"))
+    mean = F.aggregate("b", F.lit(0.0), lambda t, x: t + x) / F.size("b")
+    steps = F.transform(F.slice("b", F.lit(2), F.size("b")), lambda x, i: F.abs(x - F.get("b", i)))
+    return rows.select(key, F.size("b").alias("n_blocks"), mean.alias("mean_entropy"), F.array_max(steps).alias("largest_step"))
+
+
+def kmer_graph(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
+    """The graph of k-mers that follow each other, per key: nodes, edges, and the entropy in bits of the edges' counts."""
+    edges = kmer_counts(df, key, seq, k + 1)
+    n = F.sum("n")
+    figures = edges.groupBy(key).agg(F.count(F.lit(1)).alias("edges"), (F.log2(n) - F.sum(F.col("n") * F.log2("n")) / n).alias("entropy"))
+    nodes = edges.select(key, F.explode(F.array(F.expr(f"substring(kmer, 1, {k})"), F.expr(f"substring(kmer, 2, {k})"))).alias("node")).distinct()
+    own = nodes.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("nodes"))
+    return figures.join(own, F.col(key) == F.col("_k")).select(key, "nodes", "edges", "entropy")
+
+
+def kmer_absence(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
+    """Share of the k-mers that could occur (all of them, or as many as there are places) that do not; null without a place."""
+    seen = kmer_counts(df, key, seq, k).groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("seen"))
+    could = F.least(F.lit(4**k), F.length(seq) - k + 1)
+    got = df.select(key, could.alias("could")).join(seen, F.col(key) == F.col("_k"), "left")
+    return got.select(key, F.when(F.col("could") > 0, (F.col("could") - F.coalesce("seen", F.lit(0))) / F.col("could")).alias("absent"))
+
+
+def walk_spread(df: DataFrame, key: str, seq: str, plus: str, minus: str) -> DataFrame:
+    """Population standard deviation of the cumulative walk over its places."""
+    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in ("v", "s", "q")])
+
+    def move(t: Column, c: Column) -> Column:
+        v = t["v"] + F.when(c.isin(*plus), 1).when(c.isin(*minus), -1).otherwise(0)
+        return F.struct(v.alias("v"), (t["s"] + v).alias("s"), (t["q"] + v * v).alias("q"))
+
+    rows = df.where(F.length(seq) > 0).withColumn("_e", F.aggregate(F.split(seq, ""), zero, move)).withColumn("_n", F.length(seq))
+    mean = F.col("_e.s") / F.col("_n")
+    return rows.select(key, F.sqrt(F.greatest(F.lit(0.0), F.col("_e.q") / F.col("_n") - mean * mean)).alias("spread"))
+
+
 def extract(seq: Column, start: Column, end: Column) -> Column:
     """The half-open interval, cut at the string's ends."""
     a = F.greatest(start, F.lit(0))

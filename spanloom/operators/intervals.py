@@ -56,22 +56,26 @@ def keep_overlapping(left: DataFrame, right: DataFrame, key: str, axis: str = "c
     return left.join(hit, F.col(key) == F.col("_k"), "left_anti" if anti else "left_semi")
 
 
-def coverage(left: DataFrame, right: DataFrame, key: str, axis: str = "chrom", value: str | None = None, bin_size: int = BIN) -> DataFrame:
+def coverage(left: DataFrame, right: DataFrame, key: str, axis: str = "chrom", value: str | None = None, bin_size: int = BIN, present: bool = False) -> DataFrame:
     """Per left interval: n_overlaps, overlap_bp (a sum, not a union), fraction (at most 1), and with ``value`` its
-    overlap-weighted mean over the whole interval (null where nothing overlaps; a null value weighs as 0)."""
+    overlap-weighted mean over the whole interval (null where nothing overlaps; a null value weighs as 0), or with
+    ``present`` over the overlaps that have a finite value."""
     cols = [axis, "start", "end"] + ([value] if value else [])
     pairs = range_join(left.select(key, axis, "start", "end"), right.select(*cols), axis, bin_size)
     bp = overlap_length("l", "r")
     aggs = [F.count(F.lit(1)).alias("n_overlaps"), F.sum(bp).alias("overlap_bp")]
     if value:
-        aggs.append(F.sum(bp * F.coalesce(F.col(f"r.{value}"), F.lit(0))).alias("_weighted"))
+        v = F.col(f"r.{value}").cast("double")
+        good = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+        aggs.append(F.sum(F.when(good, bp * v) if present else bp * F.coalesce(F.col(f"r.{value}"), F.lit(0))).alias("_weighted"))
+        aggs.append(F.sum(F.when(good, bp)).alias("_present"))
     got = pairs.groupBy(F.col(f"l.{key}").alias("_k")).agg(*aggs)
     out = left.join(got, F.col(key) == F.col("_k"), "left").drop("_k")
     zero = F.lit(0).cast("long")
     out = out.withColumns({"n_overlaps": F.coalesce("n_overlaps", zero), "overlap_bp": F.coalesce("overlap_bp", zero)})
     out = out.withColumn("fraction", F.least(F.lit(1.0), F.try_divide(F.col("overlap_bp"), length())))
     if value:
-        out = out.withColumn("mean_value", F.try_divide(F.col("_weighted"), length())).drop("_weighted")
+        out = out.withColumn("mean_value", F.try_divide(F.col("_weighted"), F.col("_present") if present else length())).drop("_weighted", "_present")
     return out
 
 
@@ -87,21 +91,37 @@ def collect_values(left: DataFrame, right: DataFrame, key: str, value: str, orde
 def islands(df: DataFrame, by: list[str], gap: int = 0, bin_size: int = BIN, keep: list[Column] | None = None, combine: list[Column] | None = None) -> DataFrame:
     """Merges intervals of each ``by`` group that overlap (or lie at most ``gap`` apart, if over 0): start, end, n_members.
 
-    First within bins of starts, then over the islands of all bins, which are few. ``keep`` are aggregates over rows and
-    ``combine`` those that put them together, under the same names.
+    Bins of starts are swept one by one. What reaches over a bin's edge is the furthest end so far and the island that is
+    open there; both come from a row a bin, and bins are so wide that they hold some 1000 rows of the group on average or
+    more. So no task sorts a whole axis. ``keep`` are aggregates over rows and ``combine`` those that put them together, under the same names.
     """
 
-    def merge(rows: DataFrame, part: list[str], aggs: list[Column]) -> DataFrame:
-        w = Window.partitionBy(*part).orderBy("start", "end")
-        before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        apart = F.col("start") > before + gap if gap else F.col("start") >= before
-        rows = rows.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int"))
-        rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return rows.groupBy(*part, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *aggs).drop("_island")
-
-    binned = df.withColumn("_bin", F.expr(f"start div {bin_size}"))
-    near = merge(binned, [*by, "_bin"], [F.count(F.lit(1)).alias("n_members"), *(keep or [])]).drop("_bin")
-    return merge(near, by, [F.sum("n_members").alias("n_members"), *(combine or [])])
+    def same(pairs: list[tuple[str, str]]) -> Column:
+        out = F.lit(True)
+        for a, b in pairs:
+            out = out & F.col(a).eqNullSafe(F.col(b))
+        return out
+
+    names = [(c, f"_g{i}") for i, c in enumerate(by)]
+    wide = df.groupBy(*[F.col(c).alias(n) for c, n in names]).agg(F.greatest(F.lit(bin_size), F.expr("cast((max(start) - min(start)) * 1024.0 / count(1) as bigint)")).alias("_wide"))
+    rows = df.join(wide, same(names), "left").withColumn("_bin", F.expr("floor(start / _wide)")).drop("_wide", *[n for _, n in names])
+    bins = rows.groupBy(*[F.col(c).alias(n) for c, n in names], F.col("_bin").alias("_b")).agg(F.max("end").alias("_most"))
+    along = Window.partitionBy(*[n for _, n in names]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(*[n for _, n in names], "_b", F.max("_most").over(along).alias("_carry"))
+    rows = rows.join(bins, same([*names, ("_bin", "_b")]), "left").drop("_b", *[n for _, n in names])
+    w = Window.partitionBy(*by, "_bin").orderBy("start", "end")
+    before = F.greatest(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_carry")
+    apart = F.col("start") > before + gap if gap else F.col("start") >= before
+    rows = rows.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).drop("_carry")
+    rows = rows.withColumn("_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))  # 0: goes on from a bin before
+    part = rows.groupBy(*by, "_bin", "_no").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_members"), *(keep or []))
+    open_ = rows.groupBy(*[F.col(c).alias(n) for c, n in names], F.col("_bin").alias("_b")).agg(F.max("_no").alias("_top"))
+    latest = F.last(F.when(F.col("_top") > 0, F.struct(F.col("_b").alias("b"), F.col("_top").alias("n"))), ignorenulls=True).over(along)
+    open_ = open_.select(*[n for _, n in names], "_b", latest.alias("_from"))
+    part = part.join(open_, same([*names, ("_bin", "_b")]), "left")
+    part = part.withColumn("_island", F.when(F.col("_no") > 0, F.struct(F.col("_bin").alias("b"), F.col("_no").alias("n"))).otherwise(F.col("_from")))
+    merged = part.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_members").alias("n_members"), *(combine or []))
+    return merged.drop("_island")
 
 
 def subtract(left: DataFrame, right: DataFrame, key: str, axis: str = "chrom", bin_size: int = BIN) -> DataFrame:
@@ -167,6 +187,38 @@ def spacing(df: DataFrame, anchors: DataFrame, key: str, axis: str = "chrom", bi
     return a.join(b, F.col(key) == F.col("_k2"), "left").drop("_k2")
 
 
+def nearest_interval(df: DataFrame, others: DataFrame, key: str, axis: str = "chrom", bin_size: int = BIN) -> DataFrame:
+    """key and distance: 0 where an interval of ``others`` overlaps, else from the middle to the nearest start or end of any; null without any."""
+    edges = others.where("start < end").select(axis, F.explode(F.array("start", "end")).alias("p"), F.lit(0).alias("n"))
+    middle = df.select(key, axis, F.expr("(start + end) div 2").alias("m"))
+    near = nearest(middle, edges, key, "m", "p", "n", axis, bin_size).select(F.col(key).alias("_k2"), F.col("distance").alias("_d"))
+    hit = with_overlap(df.select(key, axis, "start", "end"), others, key, axis, bin_size)
+    return hit.join(near, F.col(key) == F.col("_k2"), "left").select(key, F.when(F.col("overlaps"), F.lit(0).cast("long")).otherwise(F.col("_d")).alias("distance"))
+
+
+# Parts of the names of sequences that are not placed on a chromosome.
+UNPLACED = ("unplaced", "unlocalized", "random", "un_", "chrunknown", "scaffold", "contig")
+
+
+def unplaced(name: Column) -> Column:
+    """Whether the name of an axis holds one of the words for sequences without a place."""
+    low = F.lower(name)
+    found = F.lit(False)
+    for word in UNPLACED:
+        found = found | low.contains(word)
+    return found
+
+
+# Names of feature types, in lower case.
+FEATURES = {"gene": ("gene", "pseudogene", "lnc_rna_gene"), "exon": ("exon", "cds")}
+
+
+def of_type(df: DataFrame, kind: str, feature: str = "feature") -> DataFrame:
+    """The rows of a feature table that are genes, exons, or (``utr``) untranslated regions, whatever the case."""
+    low = F.lower(feature)
+    return df.where(low.contains("utr") if kind == "utr" else low.isin(*FEATURES[kind]))
+
+
 def edge_distance(size: Column, start: str = "start", end: str = "end") -> Column:
     """Distance to the nearer end of the axis, 0 at least."""
     return F.greatest(F.lit(0), F.least(F.col(start), size - F.col(end)))

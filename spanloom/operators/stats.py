@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,57 +15,100 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
 
+def join_back(df: DataFrame, figures: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join by keys of which any may be null; the figures' other columns are added."""
+    names = {k: f"_j{i}" for i, k in enumerate(keys)}
+    right = figures.select(*[F.col(k).alias(n) for k, n in names.items()], *[c for c in figures.columns if c not in keys])
+    same = F.lit(True)
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return df.join(right, same, "left").drop(*names.values()) if keys else df.join(F.broadcast(right), how="left")
+
+
+def _slot(value: Column) -> Column:
+    """A whole number that grows with the value, with 256 steps from each power of two to the next, so at most some 10 ** 6 in all.
+
+    It deals sorted work over tasks by exact counts, without a sample whose bounds a lost executor could change.
+    """
+    size = F.abs(value.cast("double"))
+    power = F.floor(F.log2(size))
+    step = F.floor(power * 256 + (size / F.pow(F.lit(2.0), power) - 1) * 256) + 300_000
+    big = F.lit(float("inf"))
+    return F.when(value == 0, 0).when(size == big, 10_000_000).otherwise(step).cast("long") * F.when(value < 0, -1).otherwise(1)
+
+
+def running_over(c: DataFrame, by: list[str], value: str, x: str, out: str, least: bool = False, descending: bool = False) -> DataFrame:
+    """``c`` (one row a distinct ``value`` of a group) with ``out``: the sum of ``x`` up to and with the row in the order of
+    ``value``, or its minimum if ``least``.
+
+    Each slot of values is reduced to a row, those rows are swept, and each slot's rows start from what comes before: no
+    task sorts a whole group.
+    """
+    total = F.min if least else F.sum
+    c = c.withColumn("_slot", _slot(F.col(value)))
+    order = F.desc if descending else F.asc
+    slots = c.groupBy(*by, "_slot").agg(total(x).alias("_in"))
+    before = Window.partitionBy(*by).orderBy(order("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(*by, "_slot", total("_in").over(before).alias("_before"))
+    own = total(x).over(Window.partitionBy(*by, "_slot").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0))
+    got = join_back(c, slots, [*by, "_slot"]).withColumn("_own", own)
+    both = F.least("_own", "_before") if least else F.col("_own") + F.coalesce("_before", F.lit(0))
+    return got.withColumn(out, both).drop("_slot", "_before", "_own")
+
+
+def _counts(df: DataFrame, by: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """(by, value, _c) of the distinct values that are not null, and (by, _n) of the groups."""
+    c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    return c, c.groupBy(*by).agg(F.sum("_c").alias("_n"))
+
+
+def medians(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """Exact median of each group: the mean of the two middle values by running counts of the distinct ones."""
+    c, n = _counts(df.select(*by, value), by, value)
+    c = join_back(running_over(c, by, value, "_c", "_at"), n, by)
+    at = lambda k: F.min(F.when(F.col("_at") >= k, F.col(value)))
+    return c.groupBy(*by).agg(((at(F.floor((F.col("_n") + 1) / 2)) + at(F.ceil((F.col("_n") + 1) / 2))) / 2).alias(out))
+
+
 def robust_z(df: DataFrame, value: str, by: list[str] | None = None, out: str = "z") -> DataFrame:
     """(x - median) / (MAD / 0.6745); the population standard deviation where MAD is 0; null with fewer than two values
-    or no spread. Exact medians, in two grouped passes; the groups' figures are joined back by key."""
+    or no spread. Exact medians by running counts; the groups' figures are joined back by key, null keys too."""
     by = by or []
-    x = finite(F.col(value).cast("double"))
-    one = df.withColumn("_x", x)
-    keys = by or [F.lit(1).alias("_one")]
-    mid = one.groupBy(*keys).agg(F.median("_x").alias("_m"), F.stddev_pop("_x").alias("_sd"), F.count("_x").alias("_n"))
-    on = by or ["_one"]
-    one = one if by else one.withColumn("_one", F.lit(1))
-    with_mid = one.join(mid, on, "left")
-    mad = with_mid.groupBy(*on).agg(F.median(F.abs(F.col("_x") - F.col("_m"))).alias("_mad"))
-    rows = with_mid.join(mad, on, "left")
+    one = df.withColumn("_x", finite(F.col(value).cast("double")))
+    figures = one.groupBy(*by).agg(F.stddev_pop("_x").alias("_sd"), F.count("_x").alias("_n"))
+    rows = join_back(join_back(one, medians(one, by, "_x", "_m"), by), figures, by)
+    rows = join_back(rows, medians(rows.select(*by, F.abs(F.col("_x") - F.col("_m")).alias("_d")), by, "_d", "_mad"), by)
     scale = F.when(F.col("_mad") > 1e-12, F.col("_mad") / MAD_TO_SD).when(F.col("_sd") > 1e-12, F.col("_sd"))
-    z = F.when(F.col("_n") >= 2, (F.col("_x") - F.col("_m")) / scale)
-    return rows.withColumn(out, z).drop("_x", "_m", "_sd", "_n", "_mad", "_one")
+    return rows.withColumn(out, F.when(F.col("_n") >= 2, (F.col("_x") - F.col("_m")) / scale)).drop("_x", "_m", "_sd", "_n", "_mad")
 
 
-def tail_share(df: DataFrame, value: str, by: list[str], out: str = "tail_share") -> DataFrame:
-    """(rows of the group with at least this value + 1) / (rows + 1), the upper-tail empirical proportion.
+def zscore(df: DataFrame, value: str, by: list[str], out: str = "z") -> DataFrame:
+    """(x - mean) / sample deviation of the group; 0 where there is no spread, null for a null."""
+    figures = df.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_sd"))
+    z = F.when(F.col(value).isNotNull(), F.coalesce(F.try_divide(F.col(value) - F.col("_m"), finite(F.col("_sd"))), F.lit(0.0)))
+    return join_back(df, figures, by).withColumn(out, z).drop("_m", "_sd")
 
-    Counts are taken over distinct values, so ties and repeated values cost one row each in the window.
-    """
-    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by).orderBy(F.desc(value))
-    total = F.sum("_c").over(Window.partitionBy(*by))
-    n = n.select(*by, value, ((F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1) / (total + 1)).alias(out))
-    return df.join(n, [*by, value], "left")
 
+def tail_share(df: DataFrame, value: str, by: list[str], out: str = "tail_share") -> DataFrame:
+    """(rows of the group with at least this value + 1) / (rows + 1), the upper-tail empirical proportion."""
+    c, n = _counts(df, by, value)
+    c = join_back(running_over(c, by, value, "_c", "_at", descending=True), n, by)
+    return join_back(df, c.select(*by, value, ((F.col("_at") + 1) / (F.col("_n") + 1)).alias(out)), [*by, value])
 
-def bh(df: DataFrame, p: str, by: list[str] | None = None, out: str = "q") -> DataFrame:
-    """Benjamini-Hochberg q of column ``p``; null p is left out. Equal p have equal q.
 
-    Works on the distinct values of p with their counts: ranks are running sums over few rows.
-    """
+def bh(df: DataFrame, p: str, by: list[str] | None = None, out: str = "q") -> DataFrame:
+    """Benjamini-Hochberg q of column ``p``; null p is left out. Equal p have equal q."""
     by = by or []
-    c = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_c"))
-    all_ = Window.partitionBy(*by)
-    up = all_.orderBy(F.asc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("_raw", F.col(p) * F.sum("_c").over(all_) / F.sum("_c").over(up))
-    down = all_.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.select(*by, p, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.min("_raw").over(down))).alias(out))
-    return df.join(c, [*by, p], "left")
+    c, n = _counts(df, by, p)
+    c = join_back(running_over(c, by, p, "_c", "_at"), n, by).withColumn("_raw", F.col(p) * F.col("_n") / F.col("_at"))
+    c = running_over(c.select(*by, p, "_raw"), by, p, "_raw", "_q", least=True, descending=True)
+    return join_back(df, c.select(*by, p, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_q"))).alias(out)), [*by, p])
 
 
 def average_rank(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    """Rank with ties averaged, over distinct values and their counts; null has none."""
-    c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.select(*by, value, (F.sum("_c").over(up) - (F.col("_c") - 1) / 2).alias(out))
-    return df.join(c, [*by, value], "left")
+    """Rank with ties averaged; null has none."""
+    c = running_over(_counts(df, by, value)[0], by, value, "_c", "_at")
+    return join_back(df, c.select(*by, value, (F.col("_at") - (F.col("_c") - 1) / 2).alias(out)), [*by, value])
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str], least: int = 3) -> DataFrame:
@@ -107,6 +152,38 @@ def leave_group_out_line(df: DataFrame, by: list[str], group: str, x: str, y: st
     return rest.select(*by, group, "n", "slope", ((F.col("s_y") - F.col("slope") * F.col("s_x")) / F.col("n")).alias("intercept"))
 
 
+def leave_group_out_linear(df: DataFrame, by: list[str], group: str, xs: list[str], y: str) -> DataFrame:
+    """Least squares of ``y`` on ``xs`` over the other groups, for each group: n, intercept and an array of slopes; null where
+    they are not determined. One pass over the rows makes sums and products; only those reach the solver, a row a group."""
+    good = F.lit(True)
+    for c in [*xs, y]:
+        good = good & F.col(c).isNotNull()
+    names = [f"x{i}" for i in range(len(xs))]
+    src = df.where(good).select(*by, group, *[F.col(c).cast("double").alias(n) for c, n in zip(xs, names)], F.col(y).cast("double").alias("y"))
+    rest = without_own(src, by, group, [*names, "y"]).where("n > 0")
+    pair = lambda a, b: F.col(f"s_{a}_{b}") if f"s_{a}_{b}" in rest.columns else F.col(f"s_{b}_{a}")
+    centred = lambda a, b: pair(a, b) - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("n")
+    matrix = F.array(*[centred(a, b) for a in names for b in names])
+    vector = F.array(*[centred(a, "y") for a in names])
+
+    @F.pandas_udf("array<double>")
+    def solve(left: pd.Series, right: pd.Series) -> pd.Series:
+        def one(a, b):
+            a = np.array(a, float).reshape(len(b), len(b))
+            scale = np.sqrt(np.maximum(np.diag(a), 0))
+            if (scale <= 1e-9).any() or np.linalg.cond(a / np.outer(scale, scale)) > 1e12:
+                return None
+            return np.linalg.solve(a / np.outer(scale, scale), np.array(b, float) / scale) / scale
+
+        return pd.Series([one(a, b) for a, b in zip(left, right)])
+
+    rest = rest.withColumn("slopes", solve(matrix, vector))
+    level = F.col("s_y")
+    for i, n in enumerate(names):
+        level = level - F.get("slopes", i) * F.col(f"s_{n}")
+    return rest.select(*by, group, "n", (level / F.col("n")).alias("intercept"), "slopes")
+
+
 def share_above(df: DataFrame, by: list[str], value: str, threshold: float = 0) -> DataFrame:
     """Share of the values of each group that are above the threshold."""
     return df.groupBy(*by).agg(F.avg((F.col(value) > threshold).cast("double")).alias("share"), F.count(value).alias("n"))
@@ -133,45 +210,75 @@ def pooled_shift(df: DataFrame, by: list[str], value: str, case: str) -> DataFra
     return out.withColumn("shift", F.when(F.col("sd") > 1e-12, (F.col("case_mean") - F.col("other_mean")) / F.col("sd")))
 
 
-def matched_controls(df: DataFrame, key: str, block: str, strata: list[str], covariates: list[str], k: int) -> DataFrame:
+def _each_with(cells: Column, at: Column, ring: int) -> Column:
+    """Each array of ``cells`` followed by each place up to ``ring`` from ``at``, and by null for rows without that covariate."""
+    places = F.concat(F.transform(F.sequence(F.lit(-ring), F.lit(ring)), lambda d: at + d), F.array(F.lit(None).cast("bigint")))
+    return F.flatten(F.transform(cells, lambda done: F.transform(places, lambda v: F.concat(done, F.array(v)))))
+
+
+def matched_controls(df: DataFrame, key: str, block: str, strata: list[str], covariates: list[str], k: int, a_cell: int = 16, rings: tuple[int, ...] = (1, 3)) -> DataFrame:
     """The ``k`` nearest rows of other blocks in the same stratum: key, control, distance, rank.
 
-    Distance is the sum of absolute differences over sample deviations of the whole table. Work is the square of a
-    stratum's rows, so strata should be fine; an equi-join on them, with the top k kept before the window's sort.
+    Distance is the sum of absolute differences over sample deviations of the whole table; a null covariate is at
+    distance 0 from any. A stratum is laid out in cells, some ``a_cell`` rows each if rows were spread evenly. A row
+    looks at the cells up to ``rings`` away; what lies beyond is at least so many cells' widths off, so a row is done when
+    its k-th distance is no more. The rows that no ring settles (few: far out, beside large blocks, with nulls) look at
+    their whole stratum.
     """
-    sd = df.agg(*[F.stddev_samp(c).alias(f"_sd_{c}") for c in covariates]).first()
-    b = df.select(*[F.col(s).alias(f"_{s}") for s in strata], F.col(key).alias("control"), F.col(block).alias("_block"), *[F.col(c).alias(f"_{c}") for c in covariates])
-    same = [F.col(s) == F.col(f"_{s}") for s in strata]
-    cond = F.col(block) != F.col("_block")
-    for s in same:
-        cond = cond & s
+    sd = df.agg(*[F.stddev_samp(c).alias(c) for c in covariates]).first()
+    used = [c for c in covariates if sd[c]]
+    src = df.select(F.col(key).alias("_key"), F.col(block).alias("_block"), *strata, *[(F.col(c) / F.lit(float(sd[c]))).alias(f"_x{i}") for i, c in enumerate(used)])
+    xs = [f"_x{i}" for i in range(len(used))]
+    span = src.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"), *[F.min(x).alias(f"_lo{x}") for x in xs], *[F.max(x).alias(f"_hi{x}") for x in xs])
+    area = F.lit(1.0)
+    for x in xs:
+        area = area * F.greatest(F.col(f"_hi{x}") - F.col(f"_lo{x}"), F.lit(1e-6))
+    width = F.pow(area * a_cell / F.col("_n"), F.lit(1 / max(1, len(xs)))) if xs else F.lit(1.0)
+    # A cell is no narrower than a thousandth of the widest range, so that a flat covariate does not make rings endless.
+    widest = F.greatest(F.lit(0.0), F.lit(0.0), *[F.col(f"_hi{x}") - F.col(f"_lo{x}") for x in xs])
+    src = join_back(src, span.select(*strata, F.greatest(width, widest / 1000, F.lit(1e-9)).alias("_w")), strata)
+    own = lambda x: F.floor(F.col(x) / F.col("_w"))  # noqa: E731  null where the covariate is
+    cell = F.array(*[own(x) for x in xs]) if xs else F.array(F.lit(0).cast("long"))
+    right = src.select(*[F.col(s).alias(f"_r{s}") for s in strata], F.col("_key").alias("control"), F.col("_block").alias("_rblock"), *[F.col(x).alias(f"_r{x}") for x in xs], cell.alias("_rcell"))
     far = F.lit(0.0)
-    for c in covariates:
-        s = sd[f"_sd_{c}"]
-        if s:
-            far = far + F.coalesce(F.abs(F.col(c) - F.col(f"_{c}")) / F.lit(float(s)), F.lit(0.0))
-    pairs = df.select(key, block, *strata, *covariates).join(b, cond).select(key, "control", F.round(far, 9).alias("distance"))
-    return top_k(pairs, [key], [F.asc("distance"), F.asc("control")], k)
+    for x in xs:
+        far = far + F.coalesce(F.abs(F.col(x) - F.col(f"_r{x}")), F.lit(0.0))
+    near = F.col("_block") != F.col("_rblock")
+    for s in strata:
+        near = near & (F.col(s) == F.col(f"_r{s}"))
+
+    def best(rows: DataFrame, on: Column) -> DataFrame:
+        pairs = rows.join(right, near & on).select("_key", "control", F.round(far, 9).alias("distance"), "_w")
+        return top_k(pairs, ["_key"], [F.asc("distance"), F.asc("control")], k)
+
+    out, left = None, src
+    for ring in rings if xs else ():
+        whole = left.where(F.expr(" and ".join(f"{x} is not null" for x in xs)))
+        cells = F.array(F.array().cast("array<bigint>"))
+        for x in xs:
+            cells = _each_with(cells, own(x), ring)
+        found = best(whole.withColumn("_cell", F.explode(cells)), F.col("_cell").eqNullSafe(F.col("_rcell")))
+        done = found.where((F.col("rank") == k) & (F.col("distance") <= ring * F.col("_w"))).select(F.col("_key").alias("_done"))
+        settled = found.join(done, F.col("_key") == F.col("_done"), "left_semi").drop("_w")
+        out = settled if out is None else out.unionByName(settled)
+        left = left.join(done, F.col("_key") == F.col("_done"), "left_anti")
+    rest = best(left, F.lit(True)).drop("_w")
+    out = rest if out is None else out.unionByName(rest)
+    return out.withColumnRenamed("_key", key)
 
 
 def split_conformal(df: DataFrame, residual: str, by: list[str], level: float = 0.95) -> DataFrame:
-    """Half-width of the interval of each group: the ceil((n + 1) * level)-th least absolute residual, the largest at most.
-
-    Taken from the distinct values with their counts."""
-    a = df.where(F.col(residual).isNotNull()).groupBy(*by, F.abs(residual).alias("_a")).agg(F.count(F.lit(1)).alias("_c"))
-    up = Window.partitionBy(*by).orderBy("_a").rowsBetween(Window.unboundedPreceding, 0)
-    a = a.withColumn("_n", F.sum("_c").over(Window.partitionBy(*by))).withColumn("_at", F.sum("_c").over(up))
+    """Half-width of the interval of each group: the ceil((n + 1) * level)-th least absolute residual, the largest at most."""
+    c, n = _counts(df.select(*by, F.abs(residual).alias("_a")), by, "_a")
+    c = join_back(running_over(c, by, "_a", "_c", "_at"), n, by)
     rank = F.least(F.col("_n"), F.ceil((F.col("_n") + 1) * F.lit(level)))
-    return a.where(F.col("_at") >= rank).groupBy(*by).agg(F.min("_a").alias("half_width"), F.first("_n").alias("n"))
+    return c.where(F.col("_at") >= rank).groupBy(*by).agg(F.min("_a").alias("half_width"), F.first("_n").alias("n"))
 
 
-def block_bootstrap(df: DataFrame, by: list[str], block: str, value: str, draws: int = 500, seed: int = 13) -> DataFrame:
+def block_bootstrap(df: DataFrame, by: list[str], block: str, value: str, draws: int = 400, seed: int = 20_011) -> DataFrame:
     """Mean of block means and the 2.5 and 97.5 percentiles of its bootstrap over blocks; null bounds with one block.
 
     Rows are reduced to a mean a block first; only those reach the resampling, a group a task."""
-    import numpy as np
-    import pandas as pd
-
     means = df.where(F.col(value).isNotNull()).groupBy(*by, block).agg(F.avg(value).alias("_m"))
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import arrays
@@ -104,6 +104,22 @@ def seq_measures(spark, sf_dir):
     return sequences(spark, sf_dir).select("doc_id", arrays.measures("q").alias("m")).select("doc_id", "m.*")
 
 
+@query(f"""WITH {SEQS}, p AS (SELECT doc_id, q, unnest(range(1, length(q) - 2)) AS i FROM seqs), w AS (SELECT *, unnest(range(4, 13)) AS w FROM p),
+h AS (SELECT doc_id, substr(q, i, w) AS x FROM w WHERE i + w - 1 <= length(q)), d AS (
+SELECT doc_id, sum(CASE WHEN x = reverse(translate(x, 'ACGT', 'TGCA')) THEN 1 ELSE 0 END) / count(*) AS d FROM h GROUP BY 1)
+SELECT seqs.doc_id, round(d, 6) AS palindrome_density FROM seqs LEFT JOIN d ON seqs.doc_id = d.doc_id""")
+def palindromes(spark, sf_dir):
+    return sequences(spark, sf_dir).select("doc_id", arrays.measures("q").alias("m")).select("doc_id", _r("m.palindrome_density").alias("palindrome_density"))
+
+
+@query(f"""WITH {SEQS}, p AS (SELECT doc_id, i, CASE WHEN substr(q, i, 1) IN ('G', 'C') THEN 1 ELSE -1 END AS x FROM (SELECT doc_id, q, unnest(range(1, length(q) + 1)) AS i FROM seqs WHERE length(q) >= 12)),
+c AS (SELECT doc_id, i, x - avg(x) OVER (PARTITION BY doc_id) AS a FROM p), l AS (SELECT doc_id, a, lead(a, 10) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM c),
+r AS (SELECT doc_id, sum(a * b) AS ab, sum(a * a) AS aa, sum(b * b) AS bb FROM l WHERE b IS NOT NULL GROUP BY 1)
+SELECT seqs.doc_id, CASE WHEN aa * bb > 1e-12 THEN round(ab / sqrt(aa * bb), 6) END AS acf_10 FROM seqs LEFT JOIN r ON seqs.doc_id = r.doc_id""")
+def autocorrelation_lag10(spark, sf_dir):
+    return sequences(spark, sf_dir).select("doc_id", arrays.measures("q").alias("m")).select("doc_id", _r("m.acf_10").alias("acf_10"))
+
+
 @query()
 def seq_surrogates(spark, sf_dir):
     """Composition of each sequence and of its shuffled and Markov surrogates."""
@@ -150,6 +166,77 @@ def mutual_information_lag7(spark, sf_dir):
     return seq.mutual_information(sequences(spark, sf_dir), "doc_id", "q", 7).select("doc_id", _r("bits").alias("bits"))
 
 
+_RUNS = "list_transform(regexp_extract_all(q, 'A+|C+|G+|T+'), lambda x: length(x))"
+
+
+@query(f"""WITH {SEQS}, r AS (SELECT doc_id, {_RUNS} AS r FROM seqs WHERE length(q) > 0)
+SELECT doc_id, CAST(list_max(r) AS INTEGER) AS longest, round(list_sum(r) / len(r), 6) AS mean, round(list_aggregate(r, 'quantile_cont', 0.95), 6) AS high FROM r""")
+def seq_run_lengths(spark, sf_dir):
+    return seq.run_summary(sequences(spark, sf_dir), "doc_id", "q").select("doc_id", "longest", _r("mean").alias("mean"), _r("high").alias("high"))
+
+
+@query(f"""WITH {SEQS}, b AS (SELECT doc_id, i, substr(q, i * 50 + 1, 50) AS q FROM (SELECT doc_id, q, unnest(range(0, (length(q) + 49) // 50)) AS i FROM seqs)),
+e AS (SELECT doc_id, i, {' + '.join(_h(b) for b in 'ACGT')} AS h FROM b), d AS (SELECT *, abs(h - lag(h) OVER (PARTITION BY doc_id ORDER BY i)) AS step FROM e)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_blocks, round(avg(h), 6) AS mean_entropy, round(max(step), 6) AS largest_step FROM d GROUP BY doc_id""")
+def block_entropy_profile(spark, sf_dir):
+    p = seq.block_profile(sequences(spark, sf_dir), "doc_id", "q")
+    return p.select("doc_id", "n_blocks", _r("mean_entropy").alias("mean_entropy"), _r("largest_step").alias("largest_step"))
+
+
+@query(f"""WITH {SEQS}, k AS (SELECT doc_id, substr(q, i, 4) AS e FROM (SELECT doc_id, q, unnest(range(1, length(q) - 2)) AS i FROM seqs)),
+c AS (SELECT doc_id, e, count(*) AS n FROM k GROUP BY ALL),
+v AS (SELECT doc_id, count(DISTINCT x) AS nodes FROM (SELECT doc_id, substr(e, 1, 3) AS x FROM c UNION ALL SELECT doc_id, substr(e, 2, 3) FROM c) GROUP BY doc_id)
+SELECT c.doc_id, any_value(nodes) AS nodes, count(*) AS edges, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM c JOIN v ON c.doc_id = v.doc_id GROUP BY c.doc_id""")
+def kmer_graph_k3(spark, sf_dir):
+    return seq.kmer_graph(sequences(spark, sf_dir), "doc_id", "q", 3).select("doc_id", "nodes", "edges", _r("entropy").alias("entropy"))
+
+
+@query(f"""WITH {SEQS}, k AS (SELECT doc_id, count(DISTINCT substr(q, i, 4)) AS seen FROM (SELECT doc_id, q, unnest(range(1, length(q) - 2)) AS i FROM seqs) GROUP BY 1),
+n AS (SELECT doc_id, least(256, length(q) - 3) AS could FROM seqs)
+SELECT n.doc_id, CASE WHEN could > 0 THEN round((could - coalesce(seen, 0)) / could, 6) END AS absent FROM n LEFT JOIN k ON n.doc_id = k.doc_id""")
+def kmer_absence_k4(spark, sf_dir):
+    return seq.kmer_absence(sequences(spark, sf_dir), "doc_id", "q", 4).select("doc_id", _r("absent").alias("absent"))
+
+
+@query(f"""WITH {SEQS}, p AS (SELECT doc_id, q, unnest(range(1, length(q) + 1)) AS i FROM seqs),
+w AS (SELECT doc_id, sum(CASE WHEN substr(q, i, 1) IN ('G', 'C') THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM p)
+SELECT doc_id, round(stddev_pop(v), 4) AS spread FROM w GROUP BY doc_id""")
+def gc_walk_spread(spark, sf_dir):
+    return seq.walk_spread(sequences(spark, sf_dir), "doc_id", "q", "GC", "AT").select("doc_id", _r("spread", 4).alias("spread"))
+
+
+@query(f"""WITH {SEQS}, p AS (SELECT doc_id, string_split(q, '') AS l, length(q) AS n FROM seqs WHERE length(q) > 1),
+s AS (SELECT doc_id, d, list_sum(list_transform(range(1, n - d + 1), lambda i: CASE WHEN l[i] = l[i + d] THEN 1 ELSE 0 END)) / (n - d) AS share
+FROM (SELECT *, unnest(range(1, least(20, n - 1) + 1)) AS d FROM p)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY share DESC, d) AS k FROM s)
+SELECT doc_id, CAST(d AS INTEGER) AS lag, round(share, 6) AS share FROM r WHERE k = 1""")
+def lag_periodicity(spark, sf_dir):
+    s = sequences(spark, sf_dir).where(F.length("q") > 1).select("doc_id", arrays.lag_match("q").alias("m"))
+    return s.select("doc_id", "m.lag", _r("m.share").alias("share"))
+
+
+_KINDS = ("shuffle", "blocks3", "pairs", "local", "local_pairs", "composition", "reverse", "reverse_complement")
+
+
+@query(f"""WITH {SEQS}, k(kind) AS (VALUES {', '.join(f"('{k}')" for k in _KINDS)}), r(replicate) AS (VALUES (0), (1))
+SELECT doc_id, kind, CAST(replicate AS INTEGER) AS replicate, length(q) AS length, CASE WHEN length(q) > 0 THEN round(({_b('G')} + {_b('C')}) / length(q), 6) END AS gc,
+CASE WHEN kind = 'pairs' AND length(q) > 1 THEN round({_b('CG')} / 2 / (length(q) - 1), 6) END AS cpg_density FROM seqs, k, r""")
+def surrogate_invariants(spark, sf_dir):
+    """What surrogates keep: length and composition, and the pair shuffle also the counts of pairs."""
+    s = sequences(spark, sf_dir).select("doc_id", F.explode(arrays.surrogates(2, kinds=_KINDS)("q")).alias("s")).select("doc_id", "s.*")
+    q = F.col("sequence")
+    return s.select("doc_id", "kind", "replicate", F.length(q).alias("length"), _r(seq.gc_content(q)).alias("gc"), F.when(F.col("kind") == "pairs", _r(seq.cpg_density(q))).alias("cpg_density"))
+
+
+@query()
+def compression_distance(spark, sf_dir):
+    """Normalised compression distance of each sequence to the next one of its source by id."""
+    s = sequences(spark, sf_dir)
+    ids = s.select("chrom", "doc_id").withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("chrom").orderBy("doc_id"))).where("next_id is not null")
+    other = s.select(F.col("doc_id").alias("next_id"), F.col("q").alias("other"))
+    both = ids.select("doc_id", "next_id").join(s.select("doc_id", "q"), "doc_id").join(other, "next_id")
+    return both.select("doc_id", "next_id", _r(arrays.distances("q", "other")).alias("distance"))
+
+
 # Windows
 
 _SIZE_ROWS = ", ".join(f"({w}, {max(1, w // 2)}, {i})" for i, w in enumerate(SIZES))
@@ -175,7 +262,26 @@ SELECT a.region_id, b.region_id AS parent_id, row_number() OVER (PARTITION BY a.
 FROM win a JOIN win b ON a.chrom = b.chrom AND b.lvl > a.lvl AND b.s <= a.s AND b.e >= a.e)
 SELECT w.region_id, m.parent_id FROM win w LEFT JOIN m ON w.region_id = m.region_id AND m.n = 1""")
 def window_parents(spark, sf_dir):
-    return win.parents(_windows(spark, sf_dir)[1]).select("region_id", "parent_id")
+    return win.tile(_windows(spark, sf_dir)[0], list(SIZES), parents=True).select("region_id", "parent_id")
+
+
+@query(f"""WITH {SEQS}, {WINDOWS}, m AS (
+SELECT a.region_id, a.lvl, a.s, b.region_id AS parent_id, row_number() OVER (PARTITION BY a.region_id ORDER BY b.lvl, b.s DESC) AS n
+FROM win a JOIN win b ON a.chrom = b.chrom AND b.lvl > a.lvl AND b.s <= a.s AND b.e >= a.e)
+SELECT parent_id, CAST(count(*) AS INTEGER) AS n_children, string_agg(region_id, ',' ORDER BY lvl, s, region_id) AS child_ids FROM m WHERE n = 1 GROUP BY parent_id""")
+def window_children(spark, sf_dir):
+    return win.children(win.tile(_windows(spark, sf_dir)[0], list(SIZES), parents=True))
+
+
+@query(f"""WITH {SEQS}, {WINDOWS}, p AS (SELECT doc_id, i, substr(q, i, 1) AS c FROM (SELECT doc_id, q, unnest(range(1, length(q) + 1)) AS i FROM seqs)),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS k FROM p), r AS (SELECT *, count(*) OVER (PARTITION BY doc_id, c, k) AS run FROM g),
+f AS (SELECT doc_id, i, sum(CASE WHEN c IN ('G', 'C') THEN 1 ELSE 0 END) OVER w AS gc, sum(CASE WHEN run >= 5 THEN 1 ELSE 0 END) OVER w AS low FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT chrom, s AS start, e AS "end", CAST(w AS BIGINT) AS window_size, round((b.gc - coalesce(a.gc, 0)) / (e - s), 6) AS gc, 0.0e0 AS n_fraction,
+round((b.low - coalesce(a.low, 0)) / (e - s), 6) AS low_complexity FROM win JOIN f b ON chrom = 'd' || b.doc_id AND b.i = e LEFT JOIN f a ON chrom = 'd' || a.doc_id AND a.i = s""")
+def window_base_stats(spark, sf_dir):
+    axes = sequences(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"), "q")
+    w = win.base_stats(axes, list(SIZES), seq="q")
+    return w.select("chrom", "start", "end", "window_size", *[_r(c).alias(c) for c in ("gc", "n_fraction", "low_complexity")])
 
 
 @query(f"""WITH {SEQS}, {WINDOWS}, x AS (SELECT region_id, substr(q, s + 1, e - s) AS q FROM win JOIN seqs ON win.chrom = 'd' || doc_id WHERE w = 1000)
@@ -224,6 +330,22 @@ def overlap_coverage(spark, sf_dir):
     return c.select("event_id", "n_overlaps", "overlap_bp", _r("fraction").alias("fraction"), _r("mean_value").alias("mean_value"))
 
 
+@query(f"""WITH {_AB}, p AS (SELECT a.event_id, least(a.e, b.e) - greatest(a.s, b.s) AS bp, CASE WHEN b.event_id % 3 > 0 THEN b.value END AS v FROM a JOIN b ON {_PAIR}),
+g AS (SELECT event_id, sum(bp * v) / nullif(sum(CASE WHEN v IS NOT NULL THEN bp END), 0) AS m FROM p GROUP BY event_id)
+SELECT a.event_id, round(m, 6) AS mean_value FROM a LEFT JOIN g ON a.event_id = g.event_id""")
+def overlap_mean_present(spark, sf_dir):
+    left, right = _sides(spark, sf_dir)
+    right = right.withColumn("value", F.when(F.col("event_id") % 3 > 0, F.col("value")))
+    return iv.coverage(left.drop("value"), right, "event_id", value="value", present=True).select("event_id", _r("mean_value").alias("mean_value"))
+
+
+@query(f"""WITH {_AB}, n AS (SELECT a.event_id, min(least(abs((a.s + a.e) // 2 - b.s), abs((a.s + a.e) // 2 - b.e))) AS d FROM a JOIN b ON a.chrom = b.chrom GROUP BY 1)
+SELECT a.event_id, CASE WHEN EXISTS (SELECT 1 FROM b WHERE {_PAIR}) THEN 0 ELSE d END AS distance FROM a LEFT JOIN n ON a.event_id = n.event_id""")
+def nearest_interval(spark, sf_dir):
+    left, right = _sides(spark, sf_dir)
+    return iv.nearest_interval(left, right, "event_id")
+
+
 @query(f"""WITH {IV}, a AS (SELECT * FROM iv WHERE event_type = 'view'), p AS (
 SELECT a.event_id, b.event_type AS v, min((b.s, b.e, b.event_id)) AS o FROM a JOIN iv b ON {_PAIR} GROUP BY 1, 2),
 r AS (SELECT event_id, v, o, row_number() OVER (PARTITION BY event_id ORDER BY o, v) AS n FROM p)
@@ -348,6 +470,24 @@ def leave_group_out_line(spark, sf_dir):
     return r.select("l_returnflag", "l_linenumber", "n", _r("slope", 4).alias("slope"), _r("intercept", 2).alias("intercept"))
 
 
+_S = "CAST(l_quantity AS DOUBLE) AS x, CAST(l_discount AS DOUBLE) AS z, CAST(l_extendedprice AS DOUBLE) AS y"
+
+
+@query(f"""WITH l AS (SELECT l_returnflag, l_linenumber, {_S} FROM lineitem), g AS (SELECT DISTINCT l_returnflag, l_linenumber FROM l),
+c AS (SELECT g.l_returnflag, g.l_linenumber, count(*) AS n, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy, avg(x) AS mx, avg(z) AS mz, avg(y) AS my
+FROM g JOIN l ON g.l_returnflag = l.l_returnflag AND g.l_linenumber <> l.l_linenumber GROUP BY 1, 2),
+b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz FROM c)
+SELECT l_returnflag, l_linenumber, n, round(my - bx * mx - bz * mz, 1) AS intercept, round(bx, 3) AS slope_quantity, round(bz, 0) AS slope_discount FROM b""")
+def leave_group_out_plane(spark, sf_dir):
+    r = stats.leave_group_out_linear(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_linenumber", ["l_quantity", "l_discount"], "l_extendedprice")
+    return r.select("l_returnflag", "l_linenumber", "n", _r("intercept", 1).alias("intercept"), _r(F.get("slopes", 0), 3).alias("slope_quantity"), _r(F.get("slopes", 1), 0).alias("slope_discount"))
+
+
+@query("SELECT event_id, round((value - avg(value) OVER w) / stddev_samp(value) OVER w, 6) AS z FROM events WINDOW w AS (PARTITION BY event_type)")
+def zscore_by_group(spark, sf_dir):
+    return stats.zscore(table(spark, sf_dir, "events"), "value", ["event_type"]).select("event_id", _r("z").alias("z"))
+
+
 @query("SELECT event_type, round(avg(CASE WHEN value > 250 THEN 1.0e0 ELSE 0.0e0 END), 6) AS share, count(value) AS n FROM events GROUP BY 1")
 def share_above(spark, sf_dir):
     s = stats.share_above(table(spark, sf_dir, "events"), ["event_type"], "value", 250)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.sequence import extract
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "")
@@ -46,6 +48,46 @@ def sizes_of(genome: DataFrame) -> DataFrame:
     return genome.select("chrom", F.length("seq").cast("long").alias("size"))
 
 
+def genome_sizes(spark: SparkSession, fasta: str | None = None, sizes: str | None = None) -> DataFrame:
+    """chrom, size from the sizes file, else from the sequences; one of the two must be given."""
+    if sizes:
+        return read_sizes(spark, sizes)
+    if not fasta:
+        raise ValueError("neither a sizes file nor a FASTA file")
+    return sizes_of(read_fasta(spark, fasta))
+
+
+def add_sequences(windows: DataFrame, genome: DataFrame) -> DataFrame:
+    """``windows`` with ``sequence``: the letters of each on its axis, cut at the axis's ends; null for an unknown axis."""
+    own = genome.select(F.col("chrom").alias("_c"), "seq")
+    got = windows.join(own, F.col("chrom") == F.col("_c"), "left")
+    return got.withColumn("sequence", extract(F.col("seq"), F.col("start"), F.col("end"))).drop("_c", "seq")
+
+
+def read_signal(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, start, end, value of a track: bedGraph by its suffix; bigWig where the package pyBigWig is there, else no rows."""
+    if path.lower().endswith((".bedgraph", ".bed", ".bg")):
+        return read_bedgraph(spark, path)
+    schema = "chrom string, start long, end long, value double"
+    try:
+        import pyBigWig
+    except ImportError:
+        return spark.createDataFrame([], schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name in batch.column("chrom").to_pylist():
+                with pyBigWig.open(path) as track:
+                    rows = list(track.intervals(name) or ())
+                yield pa.RecordBatch.from_pydict({"chrom": [name] * len(rows), **{c: [r[i] for r in rows] for i, c in enumerate(("start", "end", "value"))}}, schema=pa.schema([("chrom", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.float64())]))
+
+    with pyBigWig.open(path) as track:
+        names = list(track.chroms())
+    return spark.createDataFrame([(n,) for n in names], "chrom string").repartition(max(1, len(names))).mapInArrow(run, schema)
+
+
 def _bed_lines(spark: SparkSession, path: str) -> DataFrame:
     return _fields(_lines(spark, path).where(~F.col("value").rlike("^(#|track|browser)")))
 
@@ -74,8 +116,22 @@ def attributes(text: Column) -> Column:
     return F.map_from_entries(last)
 
 
+# The attributes that name a feature's properties, the first that is there counts.
+ATTRIBUTES = {
+    "id": ("ID", "gene_id", "Name"),
+    "parent": ("Parent", "transcript_id"),
+    "name": ("Name", "gene_name", "gene_id", "ID"),
+    "biotype": ("biotype", "gene_biotype", "transcript_biotype", "gbkey"),
+    "family": ("family", "Family", "Name"),
+    "class": ("class", "Class", "type"),
+    "superfamily": ("superfamily", "Superfamily"),
+    "divergence": ("divergence", "perc_div"),
+}
+
+
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
-    """GFF3 or GTF: chrom, source, feature, start, end, score, strand, phase, attrs (map), id, parent, name.
+    """GFF3 or GTF: chrom, source, feature, start, end, score, strand, phase, attrs (map), id, parent, name, biotype,
+    family, class, superfamily, divergence; each of these is the first attribute of its list below that is there and not empty.
 
     Lines with fewer than nine fields are left out; starts become 0-based."""
     df = _fields(_lines(spark, path).where(~F.col("value").startswith("#"))).where(F.size("f") >= 9)
@@ -85,7 +141,21 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
         _at(5).alias("score"), strand.alias("strand"), _at(7).alias("phase"), attributes(_at(8)).alias("attrs"),
     )
     first = lambda *ks: F.coalesce(*[F.nullif(F.try_element_at("attrs", F.lit(k)), F.lit("")) for k in ks])
-    return df.withColumns({"id": first("ID", "gene_id", "transcript_id"), "parent": first("Parent", "gene_id"), "name": first("Name", "gene_name", "gene", "ID", "gene_id")})
+    return df.withColumns({name: first(*keys) for name, keys in ATTRIBUTES.items()})
+
+
+def read_repeats(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, start, end, family, class, superfamily, strand, divergence of repeats: from GFF3 or GTF by their attributes,
+    from BED by the fourth and the seventh to ninth field."""
+    columns = ["chrom", "start", "end", "family", "class", "superfamily", "strand", "divergence"]
+    if path.lower().endswith((".gff", ".gff3", ".gtf")):
+        return read_gff(spark, path).select(*columns)
+    strand = F.when(_at(5).isin("+", "-"), _at(5)).otherwise(".")
+    lines = _bed_lines(spark, path)
+    return lines.select(
+        _at(0).alias("chrom"), _at(1).cast("long").alias("start"), _at(2).cast("long").alias("end"), _at(3).alias("family"), _at(6).alias("class"),
+        _at(7).alias("superfamily"), strand.alias("strand"), _at(8).alias("divergence"),
+    )
 
 
 def read_vcf_copy_numbers(spark: SparkSession, path: str) -> DataFrame:
@@ -139,6 +209,35 @@ def write_fasta(df: DataFrame, path: str, name: str = "chrom", seq: str = "seq",
     df.select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), body).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_sizes(df: DataFrame, path: str) -> None:
+    """chrom and size, tab-separated."""
+    df.select(F.concat_ws("\t", "chrom", F.col("size").cast("string")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_track(df: DataFrame, path: str, column: str, name: str) -> None:
+    """A bedGraph track for genome browsers: a ``track`` line at the head of every file, then the rows with a finite value by place."""
+    good = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")) & (F.abs(column) < float("inf")))
+    good = good.repartitionByRange("chrom", "start").sortWithinPartitions("chrom", "start", "end")
+    text = F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), short_number(F.col(column).cast("double")))
+
+    def headed(batches):
+        import pyarrow as pa
+
+        first = True
+        for batch in batches:
+            if first and batch.num_rows:
+                first = False
+                yield pa.RecordBatch.from_arrays([pa.array([f'track type=bedGraph name="{name}"'], batch.schema.field(0).type)], schema=batch.schema)
+            yield batch
+
+    good.select(text.alias("value")).mapInArrow(headed, "value string").write.mode("overwrite").text(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a row, nulls written."""
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     out = df.write.mode("overwrite")
     out.parquet(path) if fmt == "parquet" else out.csv(path, sep="\t" if fmt == "tsv" else ",", header=True)

@@ -1,4 +1,5 @@
 import gzip
+import importlib.util
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +72,45 @@ def test_stream_equals_batch(spark):
     cols = ["window_start", "event_type", "n", F.round("total", 4)]
     got = sliding.run_to_end(sliding.sliding_counts(stream), "slid")
     assert rows(got, *cols) == rows(sliding.sliding_counts(batch), *cols)
+
+
+def test_repeats_signals_sequences_and_sinks(spark, tmp_path):
+    import json
+
+    from spanloom.operators import intervals as iv
+    from spanloom.sources import readers as R
+
+    gff = tmp_path / "r.gff3"
+    gff.write_text("##gff\nc1\tx\tLTR\t11\t20\t.\t+\t.\tName=Gyp;Class=LTR;perc_div=3.5\nc1\tx\tCDS\t1\t9\t.\t?\t0\tID=a;gene_id=g;transcript_id=t;gbkey=CDS\nc2\tx\tfive_prime_UTR\t5\t9\t.\t-\t.\tParent=p\nc2\tx\tGene\t1\t90\t.\t-\t.\tgene_biotype=lnc\n")
+    rows = R.read_gff(spark, str(gff)).collect()
+    by = {r["feature"]: r for r in rows}
+    assert (by["LTR"]["id"], by["LTR"]["family"], by["LTR"]["class"], by["LTR"]["divergence"], by["LTR"]["parent"]) == ("Gyp", "Gyp", "LTR", "3.5", None)
+    assert (by["CDS"]["id"], by["CDS"]["parent"], by["CDS"]["biotype"], by["Gene"]["biotype"]) == ("a", "t", "CDS", "lnc")
+    found = R.read_gff(spark, str(gff))
+    assert [iv.of_type(found, k).count() for k in ("gene", "exon", "utr")] == [1, 1, 1]
+    assert R.read_repeats(spark, str(gff)).columns == ["chrom", "start", "end", "family", "class", "superfamily", "strand", "divergence"]
+    bed = tmp_path / "r.bed"
+    bed.write_text("c1\t5\t9\tAlu\t0\t-\tSINE\tsup\t1.5\nc1\t7\t8\n")
+    got = sorted(tuple(r) for r in R.read_repeats(spark, str(bed)).collect())
+    assert got == [("c1", 5, 9, "Alu", "SINE", "sup", "-", "1.5"), ("c1", 7, 8, None, None, None, ".", None)]
+    fasta, sizes = tmp_path / "g.fa", tmp_path / "g.sizes"
+    fasta.write_text(">c1 x\nACGTAC\nGT\n>c2\nNN\n")
+    sizes.write_text("c1\t100\n")
+    assert {tuple(r) for r in R.genome_sizes(spark, str(fasta), str(sizes)).collect()} == {("c1", 100)}
+    assert {tuple(r) for r in R.genome_sizes(spark, str(fasta)).collect()} == {("c1", 8), ("c2", 2)}
+    windows = spark.createDataFrame([("c1", 2, 5), ("c1", 6, 50), ("c2", -1, 1), ("c9", 0, 1)], "chrom string, start int, end int")
+    cut = R.add_sequences(windows, R.read_fasta(spark, str(fasta)))
+    assert {(r["chrom"], r["start"], r["sequence"]) for r in cut.collect()} == {("c1", 2, "GTA"), ("c1", 6, "GT"), ("c2", -1, "N"), ("c9", 0, None)}
+    names = spark.createDataFrame([("chr1",), ("chrUn_x",), ("Scaffold_9",), (None,)], "n string")
+    assert [r[0] for r in names.select(iv.unplaced(F.col("n"))).collect()] == [False, True, True, None]
+    values = spark.createDataFrame([("c1", 0, 5, 1.5), ("c1", 5, 9, None), ("c2", 1, 2, 2.0)], "chrom string, start long, end long, v double")
+    R.write_track(values, str(tmp_path / "t.bedGraph"), "v", "my track")
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "t.bedGraph")).collect()]
+    assert 'track type=bedGraph name="my track"' in lines and "c1\t0\t5\t1.5" in lines and "c2\t1\t2\t2" in lines
+    assert {(r["chrom"], r["start"], r["value"]) for r in R.read_signal(spark, str(tmp_path / "t.bedGraph")).collect()} == {("c1", 0, 1.5), ("c2", 1, 2.0)}
+    R.write_json(values, str(tmp_path / "j"))
+    assert {"chrom": "c1", "start": 5, "end": 9, "v": None} in [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "j")).collect()]
+    R.write_sizes(spark.createDataFrame([("c1", 8)], "chrom string, size long"), str(tmp_path / "s"))
+    assert [tuple(r) for r in R.read_sizes(spark, str(tmp_path / "s")).collect()] == [("c1", 8)]
+    if importlib.util.find_spec("pyBigWig") is None:
+        assert R.read_signal(spark, str(tmp_path / "x.bw")).collect() == []
