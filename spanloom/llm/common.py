@@ -110,6 +110,21 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: i
     return _spread(rows, key, hot, "_hk", cold, "_ck").select(*rows.columns, *[got[c].alias(c) for c in cols])
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` to ``groups`` (one row a key, no null) that a hot key does not skew.
+
+    The keys with over ``total / HOT_SHARE`` rows, fewer than HOT_SHARE by counting, are told by value and joined by
+    broadcast; the rows of the others go through a shuffle.
+    """
+    own = groups.withColumnRenamed(key, "_gk")
+    hot = [r[0] for r in own.where(F.col(size) > max(1, total // HOT_SHARE)).select("_gk").collect()]
+    join = lambda left, right: left.join(right, F.col(key) == F.col("_gk")).drop("_gk")
+    if not hot:
+        return join(rows, own)
+    cold = join(rows.where(~F.col(key).isin(hot)), own.where(~F.col("_gk").isin(hot)))
+    return cold.unionByName(join(rows.where(F.col(key).isin(hot)), F.broadcast(own.where(F.col("_gk").isin(hot)))))
+
+
 def lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, value: str, out: str) -> DataFrame:
     """``rows`` with ``out``: the value of the table's row (one a key) with the same key, or the key itself without one.
 

@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernels as K
-from .common import Scratch, bounded, durable, lookup, map_arrow, with_group
+from .common import Scratch, bounded, durable, join_groups, lookup, map_arrow, with_group
 
 BANDS = 32
 ROWS = 4
 #: Centres that a list has in its next rounds, about; in those after them all members outside its largest component.
 CENTRES = (16, 256)
 #: Members and centres of a list that meet in one block.
-MEMBERS_A_BLOCK = 8192
+MEMBERS_A_BLOCK = 1024
 CENTRES_A_BLOCK = 1024
 #: Pairs that a worker holds at a time.
 PAIRS = 1 << 16
@@ -244,10 +244,10 @@ def _blocks(rows: DataFrame, size: str) -> DataFrame:
     return rows.select("list", "id", "comp", "n", "pos", F.explode(each).alias("_e")).select("list", "_e.block", "_e.centre", "id", "comp", "n", "pos")
 
 
-def _buckets(members: DataFrame, total: int) -> DataFrame:
+def _buckets(keep, members: DataFrame, total: int) -> DataFrame:
     """The ``total`` members (list, id, n) of buckets with several classes, the least id of each as its centre."""
     heads = members.groupBy("list").agg(F.min("id").alias("_head"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    return with_group(members, heads, "list", "_size", total).where("_size > 1").select(
+    return join_groups(members, keep(heads, "heads"), "list", "_size", total).select(
         "list", "id", F.col("id").alias("comp"), "n", F.lit(0).alias("pos"), (F.col("id") == F.col("_head")).alias("centre"), F.col("_size").alias("size"), F.lit(1).alias("centres")
     )
 
@@ -263,7 +263,7 @@ def _prefixes(keep, members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     own = keep(open_.join(sets.select(F.col("id").alias("_i"), "set"), F.col("id") == F.col("_i")).drop("_i"), "rest")
     each, total = own.select("id", F.explode("set").alias("h")), own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = keep(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
-    common = with_group(each, often, "h", "df", total).where("df > 1").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("k"))
+    common = join_groups(each, often, "h", "df", total).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("k"))
     rows = own.drop("set").join(common.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"))
     take = F.expr(f"n - cast(ceil({percent} * n / 100) as int) + 1 - (n - size(k))")
     rows = rows.where(take > 0).select("id", "comp", "n", F.expr("n - size(k)").alias("alone"), F.posexplode(F.slice("k", F.lit(1), take)["h"]).alias("at", "list"))
@@ -276,7 +276,7 @@ def _next_centres(keep, rows: DataFrame, turn: int) -> DataFrame:
     each = rows.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("m"))
     lists = each.groupBy("list").agg(F.sum("m").alias("size"), F.count(F.lit(1)).alias("c"), F.max(F.struct("m", "comp")).alias("top")).where("c > 1")
     lists = keep(lists.select("list", "size", F.col("top.comp").alias("_top"), (F.col("size") - F.col("top.m")).alias("rest")), "open")
-    rows = with_group(rows, lists, "list", "size", rows.count()).where("rest > 0")
+    rows = join_groups(rows, lists, "list", "size", rows.count())
     outside = F.col("comp") != F.col("_top")
     if turn < len(CENTRES):
         some = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest("rest", F.lit(1))) < CENTRES[turn]
@@ -315,7 +315,7 @@ def near_duplicates(
     classes = keep(classes, "classes")
 
     members = classes.select(F.explode("bands").alias("list"), F.col("rep").alias("id"), F.col("class.n_shingles").cast("int").alias("n"))
-    members = keep(_buckets(members, bands * classes.count()), "buckets")
+    members = keep(_buckets(keep, members, bands * classes.count()), "buckets")
     ids = keep(members.select(F.col("id").alias("_id")).distinct(), "ids")
     sets = map_arrow(src.join(bounded(ids), F.col("doc_id") == F.col("_id"), "left_semi"), _sets(shingle), "id long, set_a long, set array<long>, sketch binary")
     sets = keep(sets, "sets")
