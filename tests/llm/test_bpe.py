@@ -46,3 +46,25 @@ def test_frames(spark):
     both = encode_texts(df, VOCABULARY, P.PATTERN, decoded_col="decoded", packed=False).withColumn("t", F.col("decoded").cast("string")).collect()
     assert len(both) == len(rows) and all(list(r["ids"]) == WANT.encode_ordinary(r["t"]) for r in both)
     assert encode_texts(df.limit(0), VOCABULARY, P.PATTERN, packed=False).count() == 0
+
+
+def test_query_equals_tiktoken(spark):
+    import base64
+    import hashlib
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from spanloom.llm.queries import op9_byte_bpe
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op9_byte_bpe(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = plain.encode_ordinary(texts[r["doc_id"]])
+        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(packed).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
