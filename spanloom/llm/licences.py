@@ -215,6 +215,11 @@ def _array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _numbers(values, kind: str) -> Column:
+    """A constant array of many numbers, sent as one text, which the optimizer turns into an array once."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def _adder(column: Column):
     return lambda total, i: total + F.element_at(column, i)
 
@@ -240,8 +245,9 @@ def paragraphs(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     """The paragraphs that hold a word: the columns ``keep``, paragraph (0 for the first), content."""
     text = F.col(text_col).cast("string")
     if rejoin:
-        wrapped = rf"(?<=[^\n]{{{WRAPPED - 1}}}[^\n.!?:;|\s])[ \t]*\r?\n[ \t]*(?:(?:#+|//+|\*+|--+|;+|>+)[ \t]*)?(?=[^\s#/*>-])"
-        text = F.regexp_replace(text, wrapped, " ")
+        # The line feed comes first, so that the look back is taken at ends of lines only.
+        wrapped = rf"\n(?<=[^\n]{{{WRAPPED - 1}}}[^\n.!?:;|\s]\n)[ \t]*(?:(?:#+|//+|\*+|--+|;+|>+)[ \t]*)?(?=[^\s#/*>-])"
+        text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r]+\n", "\n"), wrapped, " ")
     return docs.select(*keep, F.posexplode(F.split(text, "\n")).alias("paragraph", "content")).where(F.col("content").rlike("(?i)[a-z0-9+]"))
 
 
@@ -272,11 +278,11 @@ def scan_licences(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     two = F.expr("if(size(words) > 1, transform(sequence(1, size(words) - 1), i -> concat_ws(' ', get(words, i - 1), get(words, i))), cast(array() as array<string>))")
     rows = rows.select("*", F.explode(F.array(two)).alias("two"))
     grams = F.array_distinct(F.filter(F.concat("words", "two"), lambda g: g.isin(features)))
-    table = _array(slots)
+    table = _numbers(slots, "int")
     at = F.transform(grams, lambda g: F.element_at(table, (F.pmod(F.xxhash64(g), F.lit(size)) + 1).cast("int")).cast("int"))
     rows = rows.select("*", F.explode(F.array(at)).alias("at")).where(F.exists("at", lambda i: i.isin(speaking(others))))
     for k, name in enumerate(names):
-        column = _array([float(round(v, 6)) for v in weights[:, k]])
+        column = _numbers([float(round(v, 6)) for v in weights[:, k]], "double")
         rows = rows.withColumn(f"z{k}", F.aggregate("at", F.lit(float(bias[k])), _adder(column)))
     z = F.array(*[F.col(f"z{k}") for k in range(len(names))])
     rows = rows.withColumn("z", z).withColumn("top", F.array_max("z"))
