@@ -15,6 +15,24 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
 
+def first_finite(*cs: Column) -> Column:
+    """The first value that is neither null, NaN nor infinite; null without one."""
+    return F.coalesce(*[finite(c.cast("double")) for c in cs])
+
+
+def finite_mean(*cs: Column) -> Column:
+    """Mean of the finite values of a row; null without one."""
+    total, n = F.lit(0.0), F.lit(0)
+    for c in (finite(c.cast("double")) for c in cs):
+        total, n = total + F.coalesce(c, F.lit(0.0)), n + F.when(c.isNotNull(), 1).otherwise(0)
+    return F.try_divide(total, n)
+
+
+def finite_max(*cs: Column) -> Column:
+    """Largest of the finite values of a row; null without one."""
+    return F.array_max(F.array(*[finite(c.cast("double")) for c in cs]))
+
+
 def join_back(df: DataFrame, figures: DataFrame, keys: list[str]) -> DataFrame:
     """Left join by keys of which any may be null; the figures' other columns are added."""
     names = {k: f"_j{i}" for i, k in enumerate(keys)}

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def tile(axes: DataFrame, sizes: list[int], step_fraction: float = 0.5, axis: str = "chrom", size: str = "size", parents: bool = False) -> DataFrame:
@@ -62,6 +63,11 @@ def parents(windows: DataFrame, axis: str = "chrom") -> DataFrame:
     return windows.join(best, F.col("region_id") == F.col("_rid"), "left").drop("_rid")
 
 
+def with_schema(df: DataFrame, schema: StructType) -> DataFrame:
+    """The columns of ``schema`` in its order and types; those that are missing are null, others are dropped."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def children(windows: DataFrame) -> DataFrame:
     """parent_id, n_children and child_ids (joined by ``,`` in order of their starts) of windows with ``parent_id``.
 

@@ -488,6 +488,14 @@ def zscore_by_group(spark, sf_dir):
     return stats.zscore(table(spark, sf_dir, "events"), "value", ["event_type"]).select("event_id", _r("z").alias("z"))
 
 
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN CAST(l_discount AS DOUBLE) END AS a, CASE WHEN l_quantity < 40 THEN CAST(l_tax AS DOUBLE) END AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, coalesce(a, b) AS first, round((coalesce(a, 0) + coalesce(b, 0)) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT), 6) AS mean, greatest(a, b) AS most FROM l""")
+def finite_row_summary(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    a, b = F.when(F.col("l_quantity") > 25, F.col("l_discount").cast("double")).otherwise(float("nan")), F.when(F.col("l_quantity") < 40, F.col("l_tax").cast("double"))
+    return li.select("l_orderkey", "l_linenumber", stats.first_finite(a, b).alias("first"), _r(stats.finite_mean(a, b)).alias("mean"), stats.finite_max(a, b).alias("most"))
+
+
 @query("SELECT event_type, round(avg(CASE WHEN value > 250 THEN 1.0e0 ELSE 0.0e0 END), 6) AS share, count(value) AS n FROM events GROUP BY 1")
 def share_above(spark, sf_dir):
     s = stats.share_above(table(spark, sf_dir, "events"), ["event_type"], "value", 250)

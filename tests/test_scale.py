@@ -159,6 +159,15 @@ def test_linear_fit_without_own_group(spark):
     assert got["flat", 1]["slopes"] is None
 
 
+def test_row_figures_and_schema(spark):
+    df = spark.createDataFrame([(1, None, float("nan")), (2, float("inf"), 3.0), (3, 1.0, 5.0)], "k int, a double, b double")
+    a, b = F.col("a"), F.col("b")
+    got = df.select(stats.first_finite(a, b), stats.finite_mean(a, b), stats.finite_max(a, b)).collect()
+    assert [tuple(r) for r in got] == [(None, None, None), (3.0, 3.0, 3.0), (1.0, 3.0, 5.0)]
+    out = win.with_schema(df, spark.createDataFrame([], "z string, k long").schema)
+    assert out.dtypes == [("z", "string"), ("k", "bigint")] and [tuple(r) for r in out.collect()] == [(None, 1), (None, 2), (None, 3)]
+
+
 def test_surrogates_keep_what_they_promise():
     rng = random.Random(9)
     pairs = lambda s: sorted(zip(s, s[1:]))
