@@ -111,6 +111,20 @@ def block_profile(df: DataFrame, key: str, seq: str, size: int = 50) -> DataFram
     return rows.select(key, F.size("b").alias("n_blocks"), mean.alias("mean_entropy"), F.array_max(steps).alias("largest_step"))
 
 
+def composition_step(df: DataFrame, key: str, seq: str, size: int = 50) -> DataFrame:
+    """Per key: the largest Euclidean distance between the shares of A, C, G and T of a whole block of ``size`` letters
+    and of the next, and the first place where it stands (nulls with one block; a string shorter than a block has no row)."""
+    blocks = F.regexp_extract_all(F.col(seq), F.lit(f"(.{{{size}}})"), F.lit(1))
+    rows = df.where(F.length(seq) >= size).select(key, F.explode(F.array(F.transform(blocks, lambda b: F.array(*[count_base(b, x) / size for x in "ACGT"])))).alias("b"))
+
+    def step(x: Column, i: Column) -> Column:
+        before = F.get("b", i)  # the slice starts at the second block
+        return F.round(F.sqrt(sum((F.get(x, j) - F.get(before, j)) ** 2 for j in range(4))), 9)
+
+    rows = rows.withColumn("_s", F.transform(F.slice("b", F.lit(2), F.size("b")), step)).withColumn("step", F.array_max("_s"))
+    return rows.select(key, "step", (F.array_position("_s", F.col("step")) * size).alias("at"))
+
+
 def kmer_graph(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
     """The graph of k-mers that follow each other, per key: nodes, edges, and the entropy in bits of the edges' counts."""
     edges = kmer_counts(df, key, seq, k + 1)

@@ -109,7 +109,7 @@ h AS (SELECT doc_id, substr(q, i, w) AS x FROM w WHERE i + w - 1 <= length(q)),
 SELECT doc_id, sum(CASE WHEN x = reverse(translate(x, 'ACGT', 'TGCA')) THEN 1 ELSE 0 END) / count(*) AS d FROM h GROUP BY 1)
 SELECT seqs.doc_id, round(d, 6) AS palindrome_density FROM seqs LEFT JOIN d ON seqs.doc_id = d.doc_id""")
 def palindromes(spark, sf_dir):
-    return sequences(spark, sf_dir).select("doc_id", arrays.measures("q").alias("m")).select("doc_id", _r("m.palindrome_density").alias("palindrome_density"))
+    return sequences(spark, sf_dir).select("doc_id", _r(arrays.palindromes("q")).alias("palindrome_density"))
 
 
 @query(f"""WITH {SEQS}, p AS (SELECT doc_id, i, CASE WHEN substr(q, i, 1) IN ('G', 'C') THEN 1 ELSE -1 END AS x FROM (SELECT doc_id, q, unnest(range(1, length(q) + 1)) AS i FROM seqs WHERE length(q) >= 12)),
@@ -117,7 +117,7 @@ c AS (SELECT doc_id, i, x - avg(x) OVER (PARTITION BY doc_id) AS a FROM p), l AS
 r AS (SELECT doc_id, sum(a * b) AS ab, sum(a * a) AS aa, sum(b * b) AS bb FROM l WHERE b IS NOT NULL GROUP BY 1)
 SELECT seqs.doc_id, CASE WHEN aa * bb > 1e-12 THEN round(ab / sqrt(aa * bb), 6) END AS acf_10 FROM seqs LEFT JOIN r ON seqs.doc_id = r.doc_id""")
 def autocorrelation_lag10(spark, sf_dir):
-    return sequences(spark, sf_dir).select("doc_id", arrays.measures("q").alias("m")).select("doc_id", _r("m.acf_10").alias("acf_10"))
+    return sequences(spark, sf_dir).select("doc_id", _r(arrays.correlation_lag(10)("q")).alias("acf_10"))
 
 
 @query()
@@ -183,6 +183,23 @@ def block_entropy_profile(spark, sf_dir):
     return p.select("doc_id", "n_blocks", _r("mean_entropy").alias("mean_entropy"), _r("largest_step").alias("largest_step"))
 
 
+_SHARES = ", ".join(f"{_b(b)} / length(q) AS {b.lower()}" for b in "ACGT")
+_STEP = " + ".join(f"power({b} - lag({b}) OVER (PARTITION BY doc_id ORDER BY i), 2)" for b in "acgt")
+
+
+@query(f"""WITH {SEQS}, b AS (SELECT doc_id, i, substr(q, i * 50 + 1, 50) AS q FROM (SELECT doc_id, q, unnest(range(0, length(q) // 50)) AS i FROM seqs)),
+e AS (SELECT doc_id, i, {_SHARES} FROM b), d AS (SELECT doc_id, i, round(sqrt({_STEP}), 9) AS step FROM e)
+SELECT doc_id, round(max(step), 6) AS step, min(CASE WHEN step = m THEN i END) * 50 AS "at" FROM (SELECT *, max(step) OVER (PARTITION BY doc_id) AS m FROM d) GROUP BY doc_id""")
+def composition_step(spark, sf_dir):
+    return seq.composition_step(sequences(spark, sf_dir), "doc_id", "q", 50).select("doc_id", _r("step").alias("step"), "at")
+
+
+@query()
+def seq_compression_z(spark, sf_dir):
+    """How far each sequence compresses below its own surrogates, by codec."""
+    return sequences(spark, sf_dir).select("doc_id", arrays.compression_z()("q").alias("c")).select("doc_id", "c.*")
+
+
 @query(f"""WITH {SEQS}, k AS (SELECT doc_id, substr(q, i, 4) AS e FROM (SELECT doc_id, q, unnest(range(1, length(q) - 2)) AS i FROM seqs)),
 c AS (SELECT doc_id, e, count(*) AS n FROM k GROUP BY ALL),
 v AS (SELECT doc_id, count(DISTINCT x) AS nodes FROM (SELECT doc_id, substr(e, 1, 3) AS x FROM c UNION ALL SELECT doc_id, substr(e, 2, 3) FROM c) GROUP BY doc_id)
@@ -284,11 +301,11 @@ def window_base_stats(spark, sf_dir):
     return w.select("chrom", "start", "end", "window_size", *[_r(c).alias(c) for c in ("gc", "n_fraction", "low_complexity")])
 
 
-@query(f"""WITH {SEQS}, {WINDOWS}, x AS (SELECT region_id, substr(q, s + 1, e - s) AS q FROM win JOIN seqs ON win.chrom = 'd' || doc_id WHERE w = 1000)
+@query(f"""WITH {SEQS}, {WINDOWS}, x AS (SELECT region_id, substr(q, s + 1, e - s) AS q FROM win JOIN seqs ON win.chrom = 'd' || doc_id)
 SELECT region_id, round(({_b('G')} + {_b('C')}) / nullif(length(q), 0), 6) AS gc FROM x""")
 def window_gc(spark, sf_dir):
     axes, tiles = _windows(spark, sf_dir)
-    x = tiles.where("window_size = 1000").join(axes.select("chrom", "q").hint("merge"), "chrom")
+    x = tiles.join(axes.select("chrom", "q").hint("merge"), "chrom")
     return x.select("region_id", _r(seq.gc_content(seq.extract(F.col("q"), F.col("start"), F.col("end")))).alias("gc"))
 
 
@@ -349,10 +366,10 @@ def nearest_interval(spark, sf_dir):
 @query(f"""WITH {IV}, a AS (SELECT * FROM iv WHERE event_type = 'view'), p AS (
 SELECT a.event_id, b.event_type AS v, min((b.s, b.e, b.event_id)) AS o FROM a JOIN iv b ON {_PAIR} GROUP BY 1, 2),
 r AS (SELECT event_id, v, o, row_number() OVER (PARTITION BY event_id ORDER BY o, v) AS n FROM p)
-SELECT event_id, string_agg(v, ';' ORDER BY o, v) AS values FROM r WHERE n <= 3 GROUP BY event_id""")
+SELECT event_id, string_agg(v, ';' ORDER BY o, v) AS values FROM r WHERE n <= 5 GROUP BY event_id""")
 def overlap_values(spark, sf_dir):
     all_ = intervals(spark, sf_dir)
-    return iv.collect_values(_kind(all_, "view"), all_, "event_id", "event_type", "event_id", most=3).select("event_id", "values")
+    return iv.collect_values(_kind(all_, "view"), all_, "event_id", "event_type", "event_id").select("event_id", "values")
 
 
 @query(f"""WITH {IV}, a AS (SELECT event_id, chrom, (s + e) // 2 AS c FROM iv WHERE event_type = 'view'), b AS (SELECT * FROM iv WHERE event_type = 'click'),

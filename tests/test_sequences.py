@@ -50,3 +50,25 @@ def test_surrogates_keep_length_and_composition():
     s = "ACGGTTTA" * 9
     assert sorted(arrays.shuffled(s, 1)) == sorted(s) and len(arrays.markov(s, 1)) == len(s)
     assert arrays.shuffled(s, 5, 3) == arrays.shuffled(s, 5, 3)
+
+
+def test_composition_step_equals_a_loop(spark):
+    rows = [(1, "A" * 10 + "C" * 10 + "CCCCCGGGGG"), (2, "ACGT" * 3), (3, "ACG"), (4, None), (5, ""), (6, "ACGTN" * 20 + "G" * 33)]
+    got = {r["id"]: (r["step"], r["at"]) for r in seq.composition_step(spark.createDataFrame(rows, "id long, s string"), "id", "s", 10).collect()}
+    want = {}
+    for i, s in rows:
+        parts = [s[j : j + 10] for j in range(0, len(s) - 9, 10)] if s else []
+        steps = [sum(((a.count(b) - c.count(b)) / 10) ** 2 for b in "ACGT") ** 0.5 for a, c in zip(parts, parts[1:])]
+        if parts:
+            want[i] = (pytest.approx(max(steps)), 10 * (1 + steps.index(max(steps)))) if steps else (None, None)
+    assert got == want
+
+
+def test_compression_z(spark):
+    plain, mixed = "ACGTTGCA" * 60, arrays.markov("ACGTTGCAATTGCCGA" * 30, 5)
+    rows = [(1, plain), (2, mixed), (3, "ACGT"), (4, None), (5, ""), (6, "A" * 40)]
+    df = spark.createDataFrame(rows, "id long, s string").select("id", arrays.compression_z()("s").alias("c")).select("id", "c.*")
+    got = {r["id"]: r for r in df.collect()}
+    assert got[1]["gzip_pairs_z"] > 3 and got[1]["agree"] and abs(got[2]["gzip_pairs_z"]) < got[1]["gzip_pairs_z"]
+    assert got[1]["gzip_pairs_z"] == pytest.approx(arrays.ratio_z(plain, "gzip", "pairs"))
+    assert all(v is None for i in (3, 4, 5, 6) for n, v in got[i].asDict().items() if n != "id")
