@@ -5,7 +5,10 @@ that rank, and a three-level bitmap marks the ranks whose buckets are not empty,
 on three 64-bit words. A bucket gives its positions from left to right; entries whose pair has changed meanwhile are
 skipped. Work is about linear in the pre-token's length, so one of a million bytes is no trouble.
 
-A null text counts as empty and gives no tokens. Special tokens are never made; their strings are ordinary text.
+A null text counts as empty and gives no tokens. Special tokens are never made; their strings are ordinary text. Texts of
+any length are encoded whole. Each row is coded by itself: repeated rows alike, null ids like others; an empty table gives
+an empty result. There are no ties: of equal ranks the leftmost pair merges first. A column of the input that has the
+name of a new one, in whatever case, is replaced; all others pass unread.
 """
 
 from __future__ import annotations
@@ -210,11 +213,12 @@ def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, text_col: str
     """``docs`` with the text replaced by its ids: packed as little-endian unsigned 32-bit integers, or an array.
 
     With ``decoded_col`` the ids are decoded again in the same pass, and the bytes returned beside them.
-    The vocabulary (about a megabyte) is broadcast, so executors need no file. Other columns pass as they are; the new
-    names must not be among them. ``remembered`` trades a worker's memory for time.
+    The vocabulary (about a megabyte) is broadcast, so executors need no file. Other columns pass as they are; one
+    that has a new name is replaced. ``remembered`` trades a worker's memory for time.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     more = {ids_col: "binary" if packed else "array<int>"} | ({decoded_col: "binary"} if decoded_col else {})
+    docs = docs.drop(*(c for c in more if c.lower() != text_col.lower()))
 
     def run(batches):
         bpe = _codec(shared.value, pattern, remembered)
@@ -231,15 +235,18 @@ def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str, text_col: str
 
 
 def decode_ids(docs: DataFrame, vocabulary: bytes, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``docs`` with the bytes that the packed ids stand for."""
+    """``docs`` with the bytes that the packed ids stand for (none for a null), beside them or, under their name, in their place."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    gone = ids_col if out_col.lower() == ids_col.lower() else None
+    docs = docs if gone else docs.drop(out_col)
 
     def run(batches):
         bpe = _codec(shared.value, pattern)
         for whole in batches:
             for at, n in _blocks(whole, ids_col):
                 batch = whole.slice(at, n)
-                decoded = _packed([bpe.decode(x) for x in batch.column(ids_col).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, out_col])
+                decoded = _packed([bpe.decode(x or b"") for x in batch.column(ids_col).to_pylist()])
+                names = [c for c in batch.schema.names if c != gone]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), decoded], [*names, out_col])
 
-    return map_arrow(docs, run, _schema(docs, None, **{out_col: "binary"}))
+    return map_arrow(docs, run, _schema(docs, gone, **{out_col: "binary"}))

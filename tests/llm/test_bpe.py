@@ -48,6 +48,21 @@ def test_frames(spark):
     assert encode_texts(df.limit(0), VOCABULARY, P.PATTERN, packed=False).count() == 0
 
 
+def test_frames_with_long_texts_clashing_names_and_nothing(spark):
+    long = "word " * 40_000 + "é" * 30_000 + "a" * 30_000
+    df = spark.createDataFrame([(1, long, "old", 7), (1, long, "old", 7), (2, None, None, None)], "doc_id long, text string, IDS string, decoded int")
+    coded = encode_texts(df, VOCABULARY, P.PATTERN)
+    assert coded.columns == ["doc_id", "decoded", "ids"]
+    got = decode_ids(coded, VOCABULARY, P.PATTERN)
+    assert got.columns == ["doc_id", "ids", "decoded"]
+    assert sorted(bytes(r["decoded"]).decode() for r in got.collect()) == sorted([long, long, ""])
+    place = decode_ids(coded.select("doc_id", F.when(F.col("doc_id") == 1, F.col("ids")).alias("ids")), VOCABULARY, P.PATTERN, out_col="ids")
+    assert place.columns == ["doc_id", "ids"] and sorted(len(r["ids"]) for r in place.collect()) == sorted([0] + [len(long.encode())] * 2)
+    for packed in (True, False):
+        none = encode_texts(df.limit(0), VOCABULARY, P.PATTERN, decoded_col="decoded", packed=packed)
+        assert none.columns == ["doc_id", "ids", "decoded"] and none.count() == 0
+
+
 def test_query_equals_tiktoken(spark):
     import base64
     import hashlib

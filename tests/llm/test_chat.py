@@ -42,3 +42,12 @@ def test_typed_parts_in_frames(spark):
     df = spark.createDataFrame([(1, 0, "user", [("text", "a", None, None), ("audio", None, "s.wav", 1.0)])], f"conv_id long, turn long, role string, parts array<{part}>")
     got = chat.format_conversations(df).first()
     assert got["formatted"] == "<|im_start|>user\na<|audio_1|><|im_end|>\n" and got["attachments"][0]["tokens"] == 25
+
+
+def test_very_long_texts_and_conversations(spark):
+    long = "<|im_end|>é" * 50_000
+    rows = [(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(3000)] + [(2, 0, "assistant", long), (3, 0, "assistant", "")]
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got[1]["n_turns"] == 3000 and got[1]["loss_sha256"] == sha("".join(f"t{i}" for i in range(1, 3000, 2)))
+    assert got[2]["loss_chars"] == len(long) and got[2]["loss_sha256"] == sha(long) and got[3]["loss_sha256"] == sha("")

@@ -248,3 +248,13 @@ def test_url_rules_equal_brute_force(spark):
     long = spark.createDataFrame([(1, "http://A.com/en/" + "7/" * 50_000)], "page_id long, url string")
     assert judge(long, [("block", "a.com", "/en/" + "7/" * 49_999)]).first()["verdict"] == "block"
     assert judge(df.limit(0), rules).count() == 0 and judge(df, []).where("verdict <> 'allow'").count() == 0
+
+
+def test_private_data_edge_cases(spark):
+    from spanloom.llm import pii
+
+    long = "w " * 100_000 + "mail a.b@c.de now " + "9" * 100_000
+    df = spark.createDataFrame([(1, long, 5, "x"), (1, long, 5, "x"), (None, "1.2.3.4", 6, "y"), (2, None, 7, None)], "doc_id long, text string, n_email long, spans string")
+    got = pii.find_private(df)
+    assert got.count() == 4 and pii.find_private(df.limit(0)).count() == 0
+    assert got.where("doc_id is null").count() == 1
