@@ -74,7 +74,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     src = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha"))
     coded = encode_texts(src, vocabulary, pattern, decoded_col="decoded", packed=False, remembered=REMEMBERED)
     same = (F.sha2("decoded", 256) == F.col("_sha")).alias("round_trip")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same)
+    # Written here, so that texts go to Python in small batches whatever the caller does with the result.
+    return durable(coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same), "tokens")
 
 
 STAGES = [

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_arrow
+from .common import kept, map_arrow
 
 #: Distinct pre-tokens whose ids a Python worker remembers, about 200 bytes each; beyond it the memory starts anew.
 REMEMBERED = 1_000_000
@@ -171,16 +171,9 @@ class ByteBPE:
         return b"".join(b"".join(map(look, np.frombuffer(ids[i : i + step], "<u4").tolist())) for i in range(0, len(ids), step))
 
 
-_made: dict[tuple[int, str, int], ByteBPE] = {}
-
-
 def _codec(vocabulary: bytes, pattern: str, remembered: int = REMEMBERED) -> ByteBPE:
-    """One for each Python worker and vocabulary."""
-    key = (hash(vocabulary), pattern, remembered)
-    if key not in _made:
-        _made.clear()
-        _made[key] = ByteBPE(vocabulary, pattern, remembered)
-    return _made[key]
+    """One for each Python worker and ``map_arrow``."""
+    return kept(("codec", hash(vocabulary), pattern, remembered), lambda: ByteBPE(vocabulary, pattern, remembered))
 
 
 def _blocks(batch: pa.RecordBatch, column: str):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from spanloom.llm import queries
+from spanloom.llm.common import BATCH_BYTES, durable, map_arrow, small_batches
 
 from .test_dedup import brute_components
 from .test_text import plain_overlaps
@@ -128,3 +129,53 @@ def test_stages_tell_rows_by_id_and_text(spark, tmp_path):
     assert kept.columns == docs.columns and sum(t in near for t in texts) == 1 and len(texts) == len(rows) - 2
     clean = [r["text"] for r in C.benchmark_leaks(spark, docs, str(tmp_path)).collect()]
     assert sorted(clean) == sorted(t for _, t in rows if "bench1" not in t)
+
+
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def test_pipeline_sends_texts_to_python_in_small_batches(spark):
+    """On 0.51 GB whole partitions went as one batch, which executors held several times beside their heap."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64()), pa.array([b.num_rows], pa.int64())], ["size", "n"])
+
+    docs = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("a"), 1 << 20).alias("text"))
+    state = lambda: (spark.conf.get(ARROW_BYTES), spark._jsparkSession.conf().contains(ARROW_BYTES))
+    before = state()
+    got = durable(docs.mapInArrow(sizes, "size long, n long"), "sizes").collect()
+    assert sum(r["n"] for r in got) == 40 and max(r["size"] for r in got) <= BATCH_BYTES + (2 << 20)
+    assert state() == before
+    for own, most in (("1000000", 3 << 20), ("99999999", BATCH_BYTES + (2 << 20))):
+        spark.conf.set(ARROW_BYTES, own)
+        try:
+            with small_batches(spark):
+                got = durable(docs.mapInArrow(sizes, "size long, n long"), "sizes").collect()
+            assert max(r["size"] for r in got) <= most and sum(r["n"] for r in got) == 40 and spark.conf.get(ARROW_BYTES) == own
+        finally:
+            spark.conf.unset(ARROW_BYTES)
+    with pytest.raises(Exception):
+        durable(docs.select(F.raise_error(F.lit("no")).alias("x")), "fails")
+    assert state() == before
+
+
+def test_workers_let_go_of_the_vocabulary_once_other_work_comes(spark):
+    """The tokens' codec, some 100 MB, stayed in the workers while later stages ran."""
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    from spanloom.llm.bpe import encode_texts, load_ranks
+
+    def alive(batches):
+        import gc
+
+        for b in batches:
+            n = sum(type(o).__name__ == "ByteBPE" for o in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int64())], ["n"])
+
+    docs = spark.range(0, 64, 1, 8).select(F.lit("some text").alias("text"))
+    coded = encode_texts(docs, load_ranks(P.path(C.TOKENIZER)), P.PATTERN)
+    assert len(coded.collect()) == 64
+    assert {r["n"] for r in map_arrow(docs, alive, "n long").collect()} == {0}
