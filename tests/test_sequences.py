@@ -1,8 +1,10 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import arrays
 from spanloom.functions import sequence as seq
+from spanloom.plans import catalogue
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +74,28 @@ def test_compression_z(spark):
     assert got[1]["gzip_pairs_z"] > 3 and got[1]["agree"] and abs(got[2]["gzip_pairs_z"]) < got[1]["gzip_pairs_z"]
     assert got[1]["gzip_pairs_z"] == pytest.approx(arrays.ratio_z(plain, "gzip", "pairs"))
     assert all(v is None for i in (3, 4, 5, 6) for n, v in got[i].asDict().items() if n != "id")
+
+
+#: Texts with a share whose rounding is a half, an empty and a null sequence, and sequences shorter than words.
+ODD = [(1, "bc" * 41 + "a" * 559), (2, None), (3, "123"), (4, "b"), (5, "bc"), (6, "bca"), (7, "abcd" * 30), (8, "c" * 3), (9, "Żółw bc bc")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame([(i, t, "s") for i, t in ODD], "doc_id long, text string, source string").write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+def same_as_sql(spark, at, name):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{at}/documents.parquet/*.parquet')")
+    want = c.execute(catalogue.ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    rows = lambda found: sorted((tuple(r) for r in found), key=repr)
+    assert rows(catalogue.QUERIES[name](spark, at).select(*columns).collect()) == rows(want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["surrogate_invariants", "seq_composition"])
+def test_odd_texts_equal_sql(spark, odd, name):
+    same_as_sql(spark, odd, name)
