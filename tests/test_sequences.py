@@ -1,6 +1,10 @@
+import zlib
+
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.functions import arrays
 from spanloom.functions import sequence as seq
@@ -99,3 +103,26 @@ def same_as_sql(spark, at, name):
 @pytest.mark.parametrize("name", ["surrogate_invariants", "seq_composition"])
 def test_odd_texts_equal_sql(spark, odd, name):
     same_as_sql(spark, odd, name)
+
+
+class _Frame:
+    """A DataFrame that hands the batches to what ``mapInArrow`` is given."""
+
+    columns, schema = ["id", "s"], T.StructType([T.StructField("id", T.LongType()), T.StructField("s", T.StringType())])
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, shape):
+        return run
+
+
+def test_surrogates_come_in_small_batches():
+    texts = ["ACGT" * 25_000, None, *["GATTACA" * 3000] * 40]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "s": texts})
+    found = list(arrays.surrogate_rows(_Frame(), "s", 2, kinds=("shuffle", "reverse"))([batch]))
+    assert max(b.nbytes for b in found) < 6 << 20 and sum(b.num_rows for b in found) == 4 * len(texts)
+    rows = [r for b in found for r in b.to_pylist()]
+    assert [r["sequence"] for r in rows if r["id"] == 1] == [None] * 4
+    own = zlib.crc32(texts[5].encode()) + 4099
+    assert [(r["kind"], r["replicate"], r["sequence"]) for r in rows if r["id"] == 5][1] == ("shuffle", 1, arrays.shuffled(texts[5], own + 1013))
