@@ -1,4 +1,7 @@
+import math
+import random
 import zlib
+from collections import Counter
 
 import duckdb
 import pyarrow as pa
@@ -126,3 +129,32 @@ def test_surrogates_come_in_small_batches():
     assert [r["sequence"] for r in rows if r["id"] == 1] == [None] * 4
     own = zlib.crc32(texts[5].encode()) + 4099
     assert [(r["kind"], r["replicate"], r["sequence"]) for r in rows if r["id"] == 5][1] == ("shuffle", 1, arrays.shuffled(texts[5], own + 1013))
+
+
+def test_words_equal_a_loop(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 2, None, 4]), "".join(rng.choice(a) for _ in range(rng.choice([0, 2, 3, 40])))) for a in ("ACGT", "ACGTN", "ACxé", "AżÓ" + "😀") for _ in range(100)] + [(9, None), (8, "AC"), (7, "NNNNN")]
+    df = spark.createDataFrame(rows, "id long, s string").repartition(3)
+    for k in (1, 3, 9):
+        want = Counter((i, s[j : j + k]) for i, s in rows if s for j in range(len(s) - k + 1) if "N" not in s[j : j + k])
+        assert {(r["id"], r["kmer"]): r["n"] for r in seq.kmer_counts(df, "id", "s", k).collect()} == want
+    pairs = Counter((i, s[j], s[j + 2]) for i, s in rows if s for j in range(len(s) - 2))
+    got = {r["id"]: r["bits"] for r in seq.mutual_information(df, "id", "s", 2).collect()}
+    for i in {i for i, _, _ in pairs}:
+        own = {(x, y): n for (j, x, y), n in pairs.items() if j == i}
+        t, nx, ny = sum(own.values()), Counter(), Counter()
+        for (x, y), n in own.items():
+            nx[x], ny[y] = nx[x] + n, ny[y] + n
+        assert got.pop(i) == pytest.approx(sum(n / t * math.log2(n * t / (nx[x] * ny[y])) for (x, y), n in own.items()))
+    assert not got
+
+
+PER_TEXT = ["kmer_graph_k3"]
+
+
+@pytest.mark.parametrize("name", PER_TEXT)
+def test_words_of_a_text_are_no_rows(spark, odd, name):
+    """No hash table and no shuffle has a row a word of a text."""
+    plan = catalogue.QUERIES[name](spark, odd)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "Generate" not in plan
+    same_as_sql(spark, odd, name)
