@@ -149,7 +149,7 @@ def test_words_equal_a_loop(spark):
     assert not got
 
 
-PER_TEXT = ["kmer_graph_k3"]
+PER_TEXT = ["kmer_graph_k3", "mutual_information_lag7"]
 
 
 @pytest.mark.parametrize("name", PER_TEXT)
