@@ -149,7 +149,7 @@ def test_words_equal_a_loop(spark):
     assert not got
 
 
-PER_TEXT = ["kmer_graph_k3", "mutual_information_lag7", "conditional_entropy_k2"]
+PER_TEXT = ["kmer_graph_k3", "mutual_information_lag7", "conditional_entropy_k2", "strand_asymmetry_k3"]
 
 
 @pytest.mark.parametrize("name", PER_TEXT)
