@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -149,7 +150,7 @@ def test_words_equal_a_loop(spark):
     assert not got
 
 
-PER_TEXT = ["kmer_graph_k3", "mutual_information_lag7", "conditional_entropy_k2", "strand_asymmetry_k3"]
+PER_TEXT = ["kmer_graph_k3", "mutual_information_lag7", "conditional_entropy_k2", "strand_asymmetry_k3", "kmer_profile_k4", "half_distance_k3"]
 
 
 @pytest.mark.parametrize("name", PER_TEXT)
@@ -158,3 +159,35 @@ def test_words_of_a_text_are_no_rows(spark, odd, name):
     plan = catalogue.QUERIES[name](spark, odd)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan and "Generate" not in plan
     same_as_sql(spark, odd, name)
+
+
+def test_measures_equal_loops(monkeypatch):
+    """Scales are gone through once, not once a moment, and the figures are those of plain loops."""
+    scales, plain = [], arrays.fluctuations
+    monkeypatch.setattr(arrays, "fluctuations", lambda y, n: (scales.append(n), plain(y, n))[1])
+    rng = random.Random(4)
+    texts = ["ACGTN" * 9, "A" * 40, "AT" * 30 + "G", "ACG"] + ["".join(rng.choice(a) for _ in range(n)) for a in ("ACGT", "AATN", "ACé") for n in (30, 600)]
+    got = arrays.measures.func(pd.Series(texts))
+    assert max(Counter(scales).values()) <= len(texts) and len(scales) <= 10 * len(texts)
+    for s, m in zip(texts, got.to_dict("records")):
+        turned = s.translate(str.maketrans("ACGTN", "TGCAN"))
+        words = [(i, w) for w in range(4, 13) for i in range(len(s) - w + 1)]
+        want = sum(s[i : i + w] == turned[i : i + w][::-1] for i, w in words) / len(words) if words else None
+        assert (m["palindrome_density"] == pytest.approx(want)) if words else m["palindrome_density"] != m["palindrome_density"]
+        x = [1 if c in "GC" else -1 if c in "AT" else 0 for c in s]
+        x = [v - sum(x) / len(x) for v in x]
+        best = None
+        for lag in range(1, min(200, len(x) - 2) + 1):
+            a, b = x[:-lag], x[lag:]
+            norm = (sum(v * v for v in a) * sum(v * v for v in b)) ** 0.5
+            r = sum(v * w for v, w in zip(a, b)) / norm if norm > 1e-6 else None
+            if r is not None and (best is None or abs(r) > abs(best[1]) + 1e-12):
+                best = (lag, r)
+        assert best is None and m["acf"] != m["acf"] or (m["acf_lag"], m["acf"]) == (best[0], pytest.approx(best[1]))
+        phrase, seen, n = "", set(), 0
+        for c in s:
+            phrase += c
+            if phrase not in seen:
+                seen.add(phrase)
+                phrase, n = "", n + 1
+        assert (m["lz78_rate"], m["lz78_phrases"]) == (n / len(s), n + bool(phrase))
