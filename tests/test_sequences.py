@@ -191,3 +191,12 @@ def test_measures_equal_loops(monkeypatch):
                 seen.add(phrase)
                 phrase, n = "", n + 1
         assert (m["lz78_rate"], m["lz78_phrases"]) == (n / len(s), n + bool(phrase))
+
+
+def test_a_surrogate_is_made_once_for_all_codecs(monkeypatch):
+    made, plain = [], arrays._path
+    monkeypatch.setattr(arrays, "_path", lambda *a: (made.append(1), plain(*a))[1])
+    s = arrays.markov("ACGTTGCAATTGCCGA" * 5, 5)
+    got = arrays.compression_z().func(pd.Series([s, None]))
+    assert len(made) == 4  # replicates, of kind "pairs"
+    assert got["bz2_blocks3_z"][0] == pytest.approx(arrays.ratio_z(s, "bz2", "blocks3")) and got["agree"].isna()[1]
